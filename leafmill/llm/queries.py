@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, chat, fingerprint, hamming, mixing, sharding, warc
+from leafmill.llm import bpe, chat, fingerprint, hamming, mixing, quality, sharding, toxicity, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -59,6 +59,14 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_windows(rows.union(extra)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_fingerprint": op2_fingerprint,
@@ -67,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_hamming_top_k": op6_hamming_top_k,
     "op7_chat_windows": op7_chat_windows,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
