@@ -171,4 +171,4 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     joined = sized.join(counted, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n")))
     nth = F.row_number().over(Window.partitionBy("_id", "_n").orderBy("_id"))
     times = F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("int")
-    return joined.withColumn("_times", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*names)
+    return joined.withColumn("_times", times.cast("int")).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*names)
