@@ -6,7 +6,7 @@ import hashlib
 import os
 from functools import cache, lru_cache
 
-from leafmill.parse.tokens import PdfError
+from leafmill.parse.tokens import Name, PdfError
 
 #: Fixed value: what passwords are filled up with.
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
@@ -227,9 +227,9 @@ class Security:
 def new_security(method: str, user: str, owner: str, permissions: int, doc_id: bytes) -> tuple[dict, Security]:
     """An encryption dictionary and its handler: ``RC4-40``, ``RC4-128``, ``AES-128`` or ``AES-256`` (revision 6)."""
     v, r, length = {"RC4-40": (1, 2, 5), "RC4-128": (2, 3, 16), "AES-128": (4, 4, 16), "AES-256": (5, 6, 32)}[method]
-    d: dict = {"Filter": "Standard", "V": v, "R": r, "P": permissions, "Length": 8 * length, "O": bytes(48), "U": bytes(48)}
+    d: dict = {"Filter": Name("Standard"), "V": v, "R": r, "P": permissions, "Length": 8 * length, "O": bytes(48), "U": bytes(48)}
     if v >= 4:
-        d |= {"StmF": "StdCF", "StrF": "StdCF", "CF": {"StdCF": {"CFM": "AESV2" if v == 4 else "AESV3", "AuthEvent": "DocOpen", "Length": length}}}
+        d |= {"StmF": Name("StdCF"), "StrF": Name("StdCF"), "CF": {"StdCF": {"CFM": Name("AESV2" if v == 4 else "AESV3"), "AuthEvent": Name("DocOpen"), "Length": length}}}
     s = Security(d, doc_id)
     if v < 5:
         owned, key = (user.encode("latin-1", "replace") + PAD)[:32], s._owner_key((owner or user).encode("latin-1", "replace"))
