@@ -340,9 +340,9 @@ def _parts(candidates: DataFrame, t: Threshold) -> DataFrame:
 
 
 def verified(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """a, b: a spanning forest of each cluster's links. ``candidates``: node, cluster, digest, n_shingles of every class in one."""
+    """a, b: a spanning forest of each cluster's links. ``candidates``: node, doc (an id with that set), cluster, digest, n_shingles of every class in one."""
     tasks = written(_parts(candidates, t), "tasks")
-    digests = written(candidates.join(tasks.select("node").distinct(), "node", "left_semi").select("node", "digest"), "wanted")
+    digests = written(candidates.join(tasks.select("node").distinct(), "node", "left_semi").select("node", "doc", "digest"), "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,7 +353,7 @@ def verified(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> Da
                 nodes = part.column("node").filter(pa.array(same))
                 yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s, ok in zip(found, same) if ok], pa.binary())], names=["node", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(digests, "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(digests, "doc").select("node", "digest", "text")
     sets = texts.mapInArrow(read, "node long, items binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,14 +388,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     t = Threshold(num, den)
     profiles = written(profile(docs, n, t), "profiles")
     narrow = profiles.select("doc_id", "n_shingles", "digest")
-    classes = written(narrow.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles")), "classes")
-    clusters = components(ties(profiles)).withColumnRenamed("component", "cluster")
-    candidates = written(classes.join(clusters, "node").select("node", "cluster", "digest", "n_shingles"), "candidates")
+    known = narrow.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"))
+    classes = written(classes.withColumn("node", F.xxhash64("digest")), "classes")
+    clusters = components(ties(profiles)).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    candidates = written(classes.join(clusters, "doc").select("node", "doc", "cluster", "digest", "n_shingles"), "candidates")
     found = verified(docs, candidates, n, t)
-    # rows of one id are one document, so its classes are tied as well
-    own = narrow.where("doc_id IS NOT NULL AND digest IS NOT NULL").select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest")
-    repeated = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    labels = components(found.unionByName(repeated.select("a", "b")))
-    labelled = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    rows = narrow.join(written(labelled, "labels"), "digest", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    # rows of one id are one document, so the classes of its texts are tied as well
+    many = written(known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id", F.xxhash64("a").alias("a")), "many")
+    repeated = known.join(many, "doc_id").select("a", F.xxhash64("digest").alias("b"))
+    labels = components(found.unionByName(repeated))
+    labelled = classes.join(labels, "node", "left").select("digest", "doc", F.coalesce("component", "node").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("doc").alias("least"))
+    named = written(labelled.join(least, "component").select("digest", "least"), "labels")
+    rows = narrow.join(named, "digest", "left")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
