@@ -46,13 +46,11 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The document with the smallest id of each near-duplicate group."""
     groups = ngram_join.jaccard_components(docs, WORDS, NUM, DEN)
     gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    # repeated rows of one id: the join has no say between them
+    # the list grows with the input, so it is joined by shuffle at every size; the window needs no other
+    known = docs.where("doc_id IS NOT NULL").join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
     order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
-    repeated = written(left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again")), "again")
-    once = left.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti")
-    first = left.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return once.select(*docs.columns).unionByName(first.select(*docs.columns))
+    first = known.withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,10 +165,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Rows that repeat an id with texts of one size are dealt that id's copies in turn.
     """
     names, id_col, text = docs.columns, how.get("id_col", "doc_id"), how.get("text", "text")
-    counted = mix(docs, **how).groupBy("doc_id", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    counted = written(counted.select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), "_copies", "_rows"), "copies")
-    sized = docs.withColumn("_size", word_count(F.col(text)))
-    joined = sized.join(counted, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n")))
-    nth = F.row_number().over(Window.partitionBy("_id", "_n").orderBy("_id"))
+    low = F.lit(-(1 << 63))  # stands for null, so that one exchange serves the join and the window
+    counted = mix(docs, **how).groupBy(F.coalesce("doc_id", low).alias("_key"), F.col("size").alias("_size"))
+    counted = written(counted.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
+    keyed = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), low)).withColumn("_size", word_count(F.col(text)))
+    joined = keyed.join(counted.hint("merge"), ["_key", "_size"])
+    nth = F.row_number().over(Window.partitionBy("_key", "_size").orderBy(F.lit(0)))
     times = F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("int")
     return joined.withColumn("_times", times.cast("int")).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*names)
