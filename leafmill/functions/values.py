@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: D:YYYYMMDDHHmmSSOHH'mm', parts after the year may be missing.
-_DATE = r"^(?:D:)?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:([Zz])|([+-])(\d{2})'?(?:(\d{2})'?)?)?(?:0{0,2}'?0{0,2}'?)?$"
+#: D:YYYYMMDDHHmmSSOHH'mm'; what follows the year may be missing, and the last number may have one digit.
+_DATE = r"^(?:D:)?(\d{4,14})(?:([Zz])(?:\d{1,2}(?:'(?:\d{1,2}'?)?)?)?|([+-])(\d{1,2})(?:'(?:(\d{1,2})'?)?)?)?$"
 
 
 def format_date(ts: Column) -> Column:
@@ -16,11 +16,17 @@ def format_date(ts: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """struct(ts, offset_min) in UTC, null for what isn't a date; offset_min is null where none is written."""
     part = lambda i: F.regexp_extract(c, _DATE, i)
-    number = lambda i, least: F.when(part(i) == "", F.lit(least)).otherwise(part(i).try_cast("int"))
+    digits = part(1)
+
+    def number(at: int, least: int) -> Column:
+        two = F.substring(digits, at, 2)
+        found = two.try_cast("int")
+        return F.when(two == "", F.lit(least)).when(F.char_length(two) == 1, F.greatest(found, F.lit(least))).otherwise(found)
+
+    local = F.try_make_timestamp(F.substring(digits, 1, 4).try_cast("int"), number(5, 1), number(7, 1), number(9, 0), number(11, 0), number(13, 0).cast("decimal(8,6)"))
     valid = c.rlike(_DATE)
-    local = F.try_make_timestamp(number(1, 0), number(2, 1), number(3, 1), number(4, 0), number(5, 0), number(6, 0).cast("decimal(8,6)"))
-    sign = F.when(part(8) == "-", -1).otherwise(1)
-    minutes = F.when(part(7) != "", 0).when(part(8) != "", sign * (number(9, 0) * 60 + number(10, 0)))
+    sign = F.when(part(3) == "-", -1).otherwise(1)
+    minutes = F.when(part(2) != "", 0).when(part(3) != "", sign * (part(4).try_cast("int") * 60 + F.coalesce(part(5).try_cast("int"), F.lit(0))))
     utc = local - F.make_interval(mins=F.coalesce(minutes, F.lit(0)))
     return F.when(valid & utc.isNotNull(), F.struct(utc.alias("ts"), minutes.cast("int").alias("offset_min")))
 

@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming renditions of the ordered operators."""
