@@ -85,6 +85,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages), f AS (SELECT d, min(page_id) AS f FROM p GROUP BY d)
+        SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + CAST((CAST('0x' || substr(p.d, CAST(10 * (k // 8) + 1 AS INTEGER), 10) AS BIGINT) >> CAST(35 - 5 * (k % 8) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+            CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+        FROM p JOIN f ON p.d = f.d""",
+    "op7_chat_windows": """WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, t, u, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(t, u)),
+        a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS n,
+            24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS chars FROM r),
+        b AS (SELECT *, CASE WHEN n > 512 OR coalesce(lag(n) OVER w > 512, false) THEN 1 ELSE 0 END AS breaks,
+            coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+        c AS (SELECT *, sum(breaks) OVER (PARTITION BY conv_id ORDER BY i) AS run FROM b),
+        d AS (SELECT *, floor((before - first_value(before) OVER (PARTITION BY conv_id, run ORDER BY i)) / 512) AS step FROM c),
+        e AS (SELECT *, coalesce(lag(run) OVER w <> run OR lag(step) OVER w <> step, true) AS opens, lag(n, 1) OVER w AS n1, lag(n, 2) OVER w AS n2, lag(chars, 1) OVER w AS c1, lag(chars, 2) OVER w AS c2,
+            first_value(role = 'system') OVER w AS has, first_value(chars) OVER w AS sys FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+        f AS (SELECT *, CASE WHEN opens AND i > 1 THEN (CASE WHEN has THEN sys ELSE 0 END) + (CASE WHEN n1 <= 256 AND NOT (has AND i = 2) THEN c1 ELSE 0 END)
+            + (CASE WHEN n1 + n2 <= 256 AND NOT (has AND i = 3) THEN c2 ELSE 0 END) ELSE 0 END AS again FROM e)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(chars + again) AS BIGINT) AS formatted_chars, CAST(count(*) FILTER (WHERE opens) AS BIGINT) AS n_windows FROM f GROUP BY conv_id""",
     "op10_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
             ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS sh FROM w),
