@@ -91,3 +91,77 @@ def intersect_rect(a: Column, b: Column) -> Column:
 def rotation(c: Column) -> Column:
     """Degrees from 0 to 359."""
     return F.pmod(F.coalesce(c, F.lit(0)), F.lit(360))
+
+
+def parse_w3c_date(c: Column) -> Column:
+    """struct(ts, offset_min) of YYYY[-MM[-DD[Thh:mm[:ss]TZD]]], null for anything else."""
+    shape = r"^(\d{4})(?:-(\d{2})(?:-(\d{2})(?:T(\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?(?:(Z)|([+-])(\d{2}):(\d{2}))?)?)?)?$"
+    part = lambda i: F.regexp_extract(c, shape, i)
+    number = lambda i, least: F.when(part(i) == "", F.lit(least)).otherwise(part(i).try_cast("int"))
+    local = F.try_make_timestamp(number(1, 0), number(2, 1), number(3, 1), number(4, 0), number(5, 0), number(6, 0).cast("decimal(8,6)"))
+    minutes = F.when(part(7) != "", 0).when(part(8) != "", F.when(part(8) == "-", -1).otherwise(1) * (number(9, 0) * 60 + number(10, 0)))
+    utc = local - F.make_interval(mins=F.coalesce(minutes, F.lit(0)))
+    return F.when(c.rlike(shape) & utc.isNotNull(), F.struct(utc.alias("ts"), minutes.cast("int").alias("offset_min")))
+
+
+def _offset(minutes: Column, between: str, after: str) -> Column:
+    sign = F.when(minutes < 0, "-").otherwise("+")
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    return F.coalesce(F.concat(sign, two(F.floor(F.abs(minutes) / 60)), F.lit(between), two(F.abs(minutes) % 60), F.lit(after)), F.lit(""))
+
+
+def format_date_at(ts: Column, minutes: Column) -> Column:
+    """A UTC time and its offset as D:YYYYMMDDHHmmSS+HH'mm'."""
+    return F.concat(format_date(ts + F.make_interval(mins=F.coalesce(minutes, F.lit(0)))), _offset(minutes, "'", "'"))
+
+
+def format_w3c_date(ts: Column, minutes: Column) -> Column:
+    local = ts + F.make_interval(mins=F.coalesce(minutes, F.lit(0)))
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), _offset(minutes, ":", ""))
+
+
+#: Permission bits of the security handler.
+PERMISSIONS = {"print": 1 << 2, "edit": 1 << 3, "copy": 1 << 4, "edit_notes": 1 << 5, "fill_and_sign": 1 << 8, "accessible": 1 << 9, "assemble": 1 << 10, "high_print": 1 << 11}
+
+#: Page sizes in points, upright.
+PAGE_SIZES = {"A0": (2384, 3370), "A1": (1684, 2384), "A2": (1191, 1684), "A3": (842, 1190), "A4": (595, 842), "A5": (420, 595), "A6": (297, 420), "Letter": (612, 792), "Legal": (612, 1008), "Tabloid": (792, 1224)}
+
+
+def permissions(p: Column) -> Column:
+    """struct of what a document allows."""
+    return F.struct(*(has_flag(p, mask).alias(name) for name, mask in PERMISSIONS.items()))
+
+
+def page_size(name: Column, landscape: bool = False) -> Column:
+    """struct(l, b, w, h) of a standard size, null for an unknown name."""
+    pairs = [x for n, (w, h) in PAGE_SIZES.items() for x in (F.lit(n), F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("b"), F.lit(float(h if landscape else w)).alias("w"), F.lit(float(w if landscape else h)).alias("h")))]
+    return F.try_element_at(F.create_map(*pairs), name)
+
+
+def format_number(c: Column) -> Column:
+    """A number without trailing zeros, six digits after the point at most."""
+    text = F.regexp_replace(F.format_string("%.6f", c.cast("double")), r"\.?0+$", "")
+    return F.when(text.isin("-0", ""), "0").otherwise(text)
+
+
+def matrix_product(m: Column, n: Column) -> Column:
+    """struct(a, b, c, d, e, f) of first m, then n."""
+    return F.struct(
+        (m.a * n.a + m.b * n.c).alias("a"),
+        (m.a * n.b + m.b * n.d).alias("b"),
+        (m.c * n.a + m.d * n.c).alias("c"),
+        (m.c * n.b + m.d * n.d).alias("d"),
+        (m.e * n.a + m.f * n.c + n.e).alias("e"),
+        (m.e * n.b + m.f * n.d + n.f).alias("f"),
+    )
+
+
+def gray_to_rgb(g: Column) -> Column:
+    return F.struct(g.alias("r"), g.alias("g"), g.alias("b"))
+
+
+def color_components(value: Column) -> Column:
+    """struct(space, c) of a colour written as a JSON array: gray, RGB or CMYK by its length, null for anything else."""
+    parts = F.from_json(value, "array<double>")
+    space = F.when(F.size(parts) == 1, "DeviceGray").when(F.size(parts) == 3, "DeviceRGB").when(F.size(parts) == 4, "DeviceCMYK")
+    return F.when(space.isNotNull() & ~F.exists(parts, lambda x: x.isNull()), F.struct(space.alias("space"), parts.alias("c")))

@@ -6,6 +6,8 @@ rows over a whole table, for which it counts ranges first instead of gathering a
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -70,7 +72,15 @@ def ordinal(df: DataFrame, order: str, out: str = "i", start: int = 0, ranges: i
     low = F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63)))
     shares = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
     cuts = sorted(set(df.agg(F.percentile_approx(low, shares, 100 * ranges)).first()[0] or []))
-    part = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= low)) if len(cuts) < 64 else F.array_position(F.array_sort(F.array_append(F.lit(cuts).cast("array<bigint>"), low)), low)
+    if len(cuts) < 64:
+        part = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= low))
+    else:  # many cuts are searched, not compared one by one; only the order column goes to Python
+
+        @F.arrow_udf("int")
+        def search(keys: pa.Array) -> pa.Array:
+            return pa.array(np.searchsorted(np.array(cuts, np.int64), keys.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
+
+        part = search(low)
     parts = df.withColumn("_part", part.cast("long"))
     counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

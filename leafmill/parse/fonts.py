@@ -168,3 +168,25 @@ class Font:
             out.append((text, self.widths.get(code, self.default)))
             at += n
         return out
+
+
+def write_cmap(codes: dict[tuple[int, int], str]) -> bytes:
+    """A ToUnicode map of single codes, in sections of a hundred at most."""
+    sizes = sorted({n for _, n in codes})
+    spaces = b"".join(b"<%s> <%s>\n" % (b"00" * n, b"FF" * n) for n in sizes)
+    items, out = sorted(codes.items(), key=lambda x: (x[0][1], x[0][0])), [b"begincmap\n%d begincodespacerange\n" % len(sizes) + spaces + b"endcodespacerange\n"]
+    for at in range(0, len(items), 100):
+        part = items[at : at + 100]
+        lines = b"".join(b"<%s> <%s>\n" % (code.to_bytes(n).hex().upper().encode(), text.encode("utf-16-be").hex().upper().encode()) for (code, n), text in part)
+        out.append(b"%d beginbfchar\n" % len(part) + lines + b"endbfchar\n")
+    return b"".join(out) + b"endcmap\n"
+
+
+def differences(codes: dict[int, str]) -> list:
+    """Codes and glyph names as an encoding's array: consecutive codes share their first number."""
+    out: list = []
+    for code in sorted(codes):
+        if code - 1 not in codes:
+            out.append(code)
+        out.append(Name(codes[code]))
+    return out

@@ -107,6 +107,8 @@ def test_ordinals_and_graphs(spark):
     got = ordered.ordinal(spark.createDataFrame([(i,) for i in ids], "k long").repartition(5), "k").collect()
     assert sorted(r.i for r in got) == list(range(len(ids)))
     assert [r.k for r in sorted(got, key=lambda r: r.i)] == sorted(ids, key=lambda k: (k is not None, k or 0))
+    many = ordered.ordinal(spark.createDataFrame([(i,) for i in ids], "k long"), "k", ranges=150).collect()
+    assert sorted((r.i, str(r.k)) for r in many) == sorted((r.i, str(r.k)) for r in got)
     assert ordered.ordinal(spark.createDataFrame([], "k long"), "k").count() == 0
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (1, 1)], "src int, dst int")
     assert {r.id for r in graph.reachable(edges, spark.createDataFrame([(1,), (9,)], "id int")).collect()} == {1, 2, 3, 9}
