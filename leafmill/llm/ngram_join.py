@@ -341,8 +341,8 @@ def _parts(candidates: DataFrame, t: Threshold) -> DataFrame:
 
 def verified(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:
     """a, b: a spanning forest of each cluster's links. ``candidates``: node, doc (an id with that set), cluster, digest, n_shingles of every class in one."""
-    tasks = written(_parts(candidates, t), "tasks")
-    digests = written(candidates.join(tasks.select("node").distinct(), "node", "left_semi").select("node", "doc", "digest"), "wanted")
+    tasks = _parts(candidates, t).groupBy("node").agg(F.collect_list(F.struct("task", "side", "own")).alias("tasks"))
+    wanted = written(candidates.join(tasks, "node").select("node", "doc", "digest", "tasks"), "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,11 +350,12 @@ def verified(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> Da
                 part = batch.slice(at, 200)
                 found = [shingles(text.as_py(), n) for text in part.column("text")]
                 same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d.as_py() for s, d in zip(found, part.column("digest"))]
-                nodes = part.column("node").filter(pa.array(same))
-                yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s, ok in zip(found, same) if ok], pa.binary())], names=["node", "items"])
+                nodes, where = (part.column(c).filter(pa.array(same, pa.bool_())) for c in ("node", "tasks"))
+                yield pa.RecordBatch.from_arrays([nodes, where, pa.array([s.tobytes() for s, ok in zip(found, same) if ok], pa.binary())], names=["node", "tasks", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(digests, "doc").select("node", "digest", "text")
-    sets = texts.mapInArrow(read, "node long, items binary")
+    # what is wanted grows with the input: joined by shuffle at every size, never broadcast
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc").select("node", "digest", "tasks", "text")
+    sets = texts.mapInArrow(read, "node long, tasks array<struct<task: bigint, side: int, own: boolean>>, items binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, members = None, {}
@@ -379,7 +380,7 @@ def verified(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> Da
         if members:
             yield found()
 
-    sent = tasks.join(sets, "node").select("task", "side", "own", "node", "items")
+    sent = sets.select("node", "items", F.explode("tasks").alias("t")).select("t.task", "t.side", "t.own", "node", "items")
     return sent.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
