@@ -292,15 +292,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
 
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        c = codec(ranks_path, pattern)
-        out, part, chars = [], [], 0
-        for t in texts:
-            part.append(t.as_py() or "")
-            chars += len(part[-1])
-            if chars >= BATCH_CHARS:
-                out += c.encode_batch(part)
-                part, chars = [], 0
-        return pa.array(out + c.encode_batch(part), pa.binary())
+        return pa.array(_encoded(codec(ranks_path, pattern), texts), pa.binary())
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -316,6 +308,32 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     return df.withColumn(out, raw(F.col(ids)))
 
 
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds the ids of the text, and the bytes decoded from these ids.
+
+    Both come from one worker: as two functions, Spark would encode twice, or hold two workers a task.
+    """
+
+    @F.arrow_udf("struct<ids: binary, decoded: binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        c = codec(ranks_path, pattern)
+        packed = _encoded(c, texts)
+        return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(map(c.decode, packed), pa.binary(), size=len(packed))], names=["ids", "decoded"])
+
+    return df.withColumn("_both", both(F.col(text))).withColumns({ids: F.col("_both.ids"), decoded: F.col("_both.decoded")}).drop("_both")
+
+
+def _encoded(c: Codec, texts: pa.Array) -> list[bytes]:
+    out, part, chars = [], [], 0
+    for t in texts:
+        part.append(t.as_py() or "")
+        chars += len(part[-1])
+        if chars >= BATCH_CHARS:
+            out += c.encode_batch(part)
+            part, chars = [], 0
+    return out + c.encode_batch(part)
+
+
 def id_array(packed: str) -> object:
     """Packed ids as an ``array<long>`` column, JVM-side."""
     h = F.hex(F.col(packed))
