@@ -3,9 +3,12 @@
 A rolling hash over the last seven bytes of the text ends a chunk wherever it is ``block size - 1`` modulo the block
 size, so boundaries move with the text around them. Each chunk's checksum becomes one symbol of 12 bits, and a
 fingerprint is ``block size:symbols at that size:symbols at twice that size``. The block size, 3 times a power of two,
-is the least that gives at most 64 symbols for the text's length, halved while fewer than 32 come out. Fingerprints
-of equal or neighbouring block sizes are compared by edit distance (insertions and deletions) between the symbols
-they have at a common size.
+is the least that gives at most 64 symbols for the text's length, halved while fewer than 32 come out, and doubled while
+more than 64 do and twice the size gives 32 at least. Where no size gives 32 to 64 (a passage that repeats has its
+boundaries as often as it occurs), all chunks of the size are kept, and beyond 1,024 they are joined by twos, fours, …
+over the whole text, each doubling counting as one of the block size. What follows the 63rd boundary is one symbol only
+where it is no longer than 64 bytes or four block sizes. Fingerprints of equal or neighbouring block sizes
+are compared by edit distance (insertions and deletions) between the symbols they have at a common size.
 
 Defined cases: a null text is an empty one; its fingerprint is ``3::``, of likeness 1 to another empty one and 0 to
 all else. Equal texts have equal fingerprints. Rows are ordered by id, nulls first, then by text, so ties and repeated
@@ -29,6 +32,12 @@ from leafmill.llm._common import shuffle_partitions
 #: Bytes the rolling hash looks at, most and least symbols, and the least block size.
 WINDOW, MOST, LEAST, SMALLEST = 7, 64, 32, 3
 
+#: Bytes, and block sizes, that may follow the last but one symbol of MOST without having boundaries of their own.
+REST, REST_SIZES = 64, 4
+
+#: Symbols of a text for which no block size gives LEAST to MOST: beyond these, neighbouring chunks are joined.
+KEPT = 1024
+
 _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _SYMBOLS = [a + b for a in _DIGITS for b in _DIGITS]
 
@@ -50,7 +59,7 @@ def rolling(data: np.ndarray) -> np.ndarray:
 
 
 def _symbols(data: bytes, ends: np.ndarray) -> str:
-    bounds = [0, *ends[: MOST - 1].tolist()]
+    bounds = [0, *ends.tolist()]
     if bounds[-1] < len(data):
         bounds.append(len(data))
     return "".join([_SYMBOLS[zlib.crc32(data[a:b]) & 0xFFF] for a, b in zip(bounds, bounds[1:])])
@@ -66,8 +75,21 @@ def signature(data: bytes, hashes: np.ndarray) -> str:
         if size == SMALLEST or len(at) + 1 >= LEAST:
             break
         size //= 2
-    # a boundary at twice the size is one at the size itself
-    wide = at[hashes[at] % np.uint32(2 * size) == np.uint32(2 * size - 1)]
+    while True:
+        # a boundary at twice the size is one at the size itself
+        wide = at[hashes[at] % np.uint32(2 * size) == np.uint32(2 * size - 1)]
+        rest = len(data) - int(at[MOST - 2]) - 1 if len(at) >= MOST else 0
+        if rest <= max(REST, REST_SIZES * size):
+            at, wide = at[: MOST - 1], wide[: MOST - 1]
+            break
+        if len(wide) + 1 < LEAST:
+            break
+        at, size = wide, 2 * size
+    # joined in the wide symbols from half of KEPT on, so that texts on either side of KEPT have a common size
+    if len(at) > KEPT // 2:
+        wide = at[1::2]
+    while len(at) >= KEPT:
+        at, wide, size = wide, wide[1::2], 2 * size
     return f"{size}:{_symbols(data, at + 1)}:{_symbols(data, wide + 1)}"
 
 

@@ -152,3 +152,32 @@ def test_near_edits_are_near_and_others_far():
     near = fingerprint.compare(*map(fingerprint.fingerprint_text, (a, a[: len(a) * 3 // 4] + b[: len(a) // 4])))
     far = fingerprint.compare(*map(fingerprint.fingerprint_text, (a, b)))
     assert near > 0.6 and far < 0.1
+
+
+def test_texts_that_repeat_a_passage_are_fingerprinted_whole():
+    for seed in (1, 2, 3, 4):
+        word = random.Random(seed)
+        some = lambda n: "".join(word.choices("abcdefghijklmnop ", k=n))
+        passage, other = some(416), some(416)
+        for times in (300, 2000, 2600):
+            text = passage * times
+            found = fingerprint.fingerprint_text(text)
+            assert all(len(s) <= 2 * fingerprint.KEPT for s in found.split(":")[1:])
+            changes = [fingerprint.compare(found, fingerprint.fingerprint_text(text[: len(text) * k // 4] + (other * times)[: len(text) - len(text) * k // 4])) for k in (1, 2, 3)]
+            # the edit's share shows, wherever the texts have a common block size
+            assert changes[0] < 0.6 and changes[1] < 0.8 and changes[2] < 0.95, (seed, times, changes)
+            tail = text[: len(text) // 2] + "".join(c if i % 416 else "Z" for i, c in enumerate(text[len(text) // 2 :]))
+            assert fingerprint.compare(found, fingerprint.fingerprint_text(tail)) < 0.9
+
+
+def test_only_a_short_rest_is_one_symbol():
+    word = random.Random(11)
+    over = 0
+    for _ in range(60):
+        data = "".join(word.choices("abcdefghijklmnop ", k=6100)).encode()
+        hashes = fingerprint.rolling(memoryview(data))
+        size, narrow, _ = fingerprint.signature(data, hashes).split(":")
+        ends = [i + 1 for i, h in enumerate(hashes.tolist()) if h % int(size) == int(size) - 1]
+        assert len(ends) < 64 or len(data) - ends[62] <= 4 * int(size) or len(narrow) // 2 == len(ends) + (ends[-1] < len(data))
+        over += int(size) > 96
+    assert over
