@@ -47,16 +47,13 @@ def tree_paths(nodes: DataFrame, spark: SparkSession) -> DataFrame:
 
     ``nodes``: node, parent (null for roots), pos, name. Cycles are cut where a node would be its own ancestor.
     """
-    view = f"nodes_{uuid.uuid4().hex}"
-    nodes.createOrReplaceTempView(view)
-    return spark.sql(
-        f"""WITH RECURSIVE t(node, path, names, above) MAX RECURSION LEVEL {MOST_DEPTH} AS (
-            SELECT node, array(pos), array(name), array(node) FROM {view} WHERE parent IS NULL
-            UNION ALL
-            SELECT n.node, array_append(t.path, n.pos), array_append(t.names, n.name), array_append(t.above, n.node)
-            FROM t JOIN {view} n ON n.parent = t.node WHERE NOT array_contains(t.above, n.node))
-        SELECT node, path, names FROM t"""
-    )
+    nodes = _written(nodes.select(F.col("node").alias("n"), "parent", "pos", "name"))
+    found = frontier = _written(nodes.where("parent IS NULL").select(F.col("n").alias("node"), F.array("pos").alias("path"), F.array("name").alias("names"), F.array("n").alias("above")))
+    while not frontier.isEmpty():
+        below = frontier.join(nodes, frontier["node"] == nodes["parent"]).where(~F.array_contains("above", F.col("n")))
+        frontier = _written(below.select(F.col("n").alias("node"), *(F.array_append(to, F.col(of)).alias(to) for to, of in (("path", "pos"), ("names", "name"), ("above", "n")))))
+        found = found.unionByName(frontier)
+    return found.select("node", "path", "names")
 
 
 def full_name(names: str):

@@ -1,18 +1,19 @@
 """Questions about a document's structure, over the objects table: inherited keys, fields, annotations, outlines, names,
-metadata, attachments, garbage. Values are reached into as JSON; hierarchies are recursive queries by document."""
+metadata, attachments, garbage. Values are reached into as JSON; hierarchies are walked a document at a time, over the few
+columns that the walk needs: less than the parse of the document held."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from leafmill.functions import values
 from leafmill.operators import graph
 
-MOST_DEPTH = 256
-
 
 def get(key: str, value: str | Column = "value") -> Column:
     return F.get_json_object(value, f"$.{key}")
@@ -47,17 +48,49 @@ def find_key(objects: DataFrame, key: str) -> DataFrame:
     return joined.select("doc_id", "obj", F.when(F.col("to").isNotNull(), F.col("target")).otherwise(F.col("direct")).alias("found"))
 
 
+def _walked(nodes: DataFrame, walk: Callable[[dict[int, dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """doc_id and what ``walk`` makes of each document's nodes (doc_id, obj, …) by number; number 0 is where it starts."""
+    schema = f"doc_id {dict(nodes.dtypes)['doc_id']}, {schema}"
+    kinds = to_arrow_schema(nodes.sparkSession.createDataFrame([], schema).schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        doc_id = table.column("doc_id")[0].as_py()
+        return pa.Table.from_pylist([{"doc_id": doc_id} | row for row in walk({r["obj"]: r for r in table.to_pylist()})], kinds)
+
+    return nodes.groupBy("doc_id").applyInArrow(run, schema)
+
+
+def _below(items: list[dict], kids: Callable[[dict], list[dict]]) -> Iterator[dict]:
+    """Items and all below them, depth first, without any whose ``obj`` is that of one above it."""
+    todo, above = [(i, False) for i in reversed(items)], set()
+    while todo:
+        item, done = todo.pop()
+        if done:
+            above.discard(item["obj"])
+        elif item["obj"] not in above:
+            above.add(item["obj"])
+            yield item
+            todo += [(item, True), *((k, False) for k in reversed(kids(item)))]
+
+
 def inherit_key(objects: DataFrame, key: str) -> DataFrame:
     """doc_id, obj, found: the value here or at the nearest ancestor by Parent."""
-    spark, view = objects.sparkSession, f"inherit_{uuid.uuid4().hex}"
-    objects.where("value IS NOT NULL AND obj > 0").select("doc_id", "obj", get(key).alias("own"), ref_of("Parent").alias("parent")).createOrReplaceTempView(view)
-    return spark.sql(
-        f"""WITH RECURSIVE up(doc_id, obj, found, parent, depth) MAX RECURSION LEVEL {MOST_DEPTH} AS (
-            SELECT doc_id, obj, own, parent, 0 FROM {view}
-            UNION ALL
-            SELECT u.doc_id, u.obj, n.own, n.parent, u.depth + 1 FROM up u JOIN {view} n ON n.doc_id = u.doc_id AND n.obj = u.parent WHERE u.found IS NULL AND u.depth < {MOST_DEPTH - 2})
-        SELECT doc_id, obj, min_by(found, CASE WHEN found IS NOT NULL THEN depth END) AS found FROM up GROUP BY doc_id, obj"""
-    )
+    nodes = objects.where("value IS NOT NULL AND obj > 0").select("doc_id", "obj", get(key).alias("own"), ref_of("Parent").alias("parent"))
+
+    def walk(by: dict[int, dict]) -> Iterator[dict]:
+        found: dict[int, str | None] = {}
+        for obj in by:
+            path, at = [], obj
+            while at in by and at not in found:
+                found[at] = by[at]["own"]  # none yet where parents form a loop
+                path.append(at)
+                if found[at] is None:
+                    at = by[at]["parent"]
+            for node in path:
+                found[node] = found.get(at)
+            yield {"obj": obj, "found": found[obj]}
+
+    return _walked(nodes, walk, "obj int, found string")
 
 
 def _catalog(objects: DataFrame) -> DataFrame:
@@ -80,21 +113,25 @@ def _refs(value: str | Column, key: str) -> Column:
 
 def fields(objects: DataFrame) -> DataFrame:
     """doc_id, obj, parent, partial_name, full_name, type, flags, value of the form's fields, read from its roots down."""
-    spark, view, top = objects.sparkSession, f"fields_{uuid.uuid4().hex}", f"top_{uuid.uuid4().hex}"
     form = _deref(_catalog(objects), objects, "AcroForm", "form").where("form IS NOT NULL")
-    form = form.select("doc_id", F.explode(_refs("form", "Fields")).alias("obj"))
-    form.createOrReplaceTempView(top)
+    top = form.select("doc_id", F.lit(0).alias("obj"), _refs("form", "Fields").alias("kids"))
     nodes = objects.where("value IS NOT NULL AND obj > 0").select("doc_id", "obj", text_of("T").alias("t"), name_of("FT").alias("ft"), get("Ff").try_cast("bigint").alias("ff"), get("V").alias("v"), _refs("value", "Kids").alias("kids"))
-    nodes.createOrReplaceTempView(view)
-    found = spark.sql(
-        f"""WITH RECURSIVE f(doc_id, obj, parent, t, full_name, ft, ff, v, kids, depth) MAX RECURSION LEVEL {MOST_DEPTH} AS (
-            SELECT n.doc_id, n.obj, CAST(NULL AS INT), n.t, replace(n.t, '.', '..'), n.ft, n.ff, n.v, n.kids, 0 FROM {top} r JOIN {view} n ON n.doc_id = r.doc_id AND n.obj = r.obj
-            UNION ALL
-            SELECT n.doc_id, n.obj, f.obj, n.t, concat_ws('.', f.full_name, replace(n.t, '.', '..')), coalesce(n.ft, f.ft), coalesce(n.ff, f.ff), coalesce(n.v, f.v), n.kids, f.depth + 1
-            FROM (SELECT doc_id, obj, full_name, ft, ff, v, depth, explode(kids) AS kid FROM f WHERE depth < {MOST_DEPTH - 2}) f
-            JOIN {view} n ON n.doc_id = f.doc_id AND n.obj = f.kid WHERE n.obj <> f.obj AND n.t IS NOT NULL)
-        SELECT * FROM f"""
-    )
+
+    def walk(by: dict[int, dict]) -> Iterator[dict]:
+        def field(obj: int | None, above: dict) -> dict | None:
+            n = by.get(obj) if obj else None
+            if n is None or above["obj"] and n["t"] is None:
+                return None
+            names = [x for x in (above["full_name"], None if n["t"] is None else n["t"].replace(".", "..")) if x is not None]
+            full = ".".join(names) if names or above["obj"] else None
+            return {"obj": obj, "parent": above["obj"], "t": n["t"], "full_name": full} | {k: above[k] if n[k] is None else n[k] for k in ("ft", "ff", "v")}
+
+        def kids(item: dict) -> list[dict]:
+            return [f for kid in by[item["obj"] or 0]["kids"] or () if (f := field(kid, item))]
+
+        yield from _below(kids(dict.fromkeys(("obj", "full_name", "ft", "ff", "v"))), kids)
+
+    found = _walked(nodes.join(top, "doc_id", "left_semi").unionByName(top, allowMissingColumns=True), walk, "obj int, parent int, t string, full_name string, ft string, ff bigint, v string")
     return found.select("doc_id", "obj", "parent", F.col("t").alias("partial_name"), "full_name", values.field_type(F.col("ft"), F.col("ff")).alias("type"), F.coalesce("ff", F.lit(0)).alias("flags"), F.col("v").alias("value"))
 
 
@@ -119,39 +156,39 @@ def annotations(objects: DataFrame, pages: DataFrame) -> DataFrame:
 
 def outlines(objects: DataFrame) -> DataFrame:
     """doc_id, obj, parent, level, pos, title, dest: the outline by First and Next, nodes met again left out."""
-    spark, view, top = objects.sparkSession, f"outline_{uuid.uuid4().hex}", f"otop_{uuid.uuid4().hex}"
-    _catalog(objects).select("doc_id", ref_of("Outlines").alias("obj")).where("obj IS NOT NULL").createOrReplaceTempView(top)
+    top = _catalog(objects).select("doc_id", F.lit(0).alias("obj"), ref_of("Outlines").alias("first")).where("first IS NOT NULL")
     cols = (text_of("Title").alias("title"), get("Dest").alias("dest"), ref_of("First").alias("first"), ref_of("Next").alias("next"))
-    objects.where("value IS NOT NULL AND obj > 0").select("doc_id", "obj", *cols).createOrReplaceTempView(view)
-    found = spark.sql(
-        f"""WITH RECURSIVE o(doc_id, obj, parent, level, pos, title, dest, first, next, above) MAX RECURSION LEVEL {MOST_DEPTH} AS (
-            SELECT n.doc_id, n.obj, CAST(NULL AS INT), 0, array(0), n.title, n.dest, n.first, CAST(NULL AS INT), array(n.obj) FROM {top} r JOIN {view} n ON n.doc_id = r.doc_id AND n.obj = r.obj
-            UNION ALL
-            SELECT n.doc_id, n.obj, o.up, o.lev, o.place, n.title, n.dest, n.first, n.next, array_append(o.above, n.obj)
-            FROM (SELECT doc_id, above, m.up, m.lev, m.place, m.to FROM (
-                SELECT doc_id, above, explode(array(struct(first AS to, obj AS up, level + 1 AS lev, array_append(pos, 0) AS place),
-                    struct(next AS to, parent AS up, level AS lev, array_append(slice(pos, 1, size(pos) - 1), element_at(pos, -1) + 1) AS place))) AS m FROM o) WHERE m.to IS NOT NULL) o
-            JOIN {view} n ON n.doc_id = o.doc_id AND n.obj = o.to WHERE NOT array_contains(o.above, n.obj))
-        SELECT * FROM o WHERE level > 0"""
-    )
-    return found.select("doc_id", "obj", "parent", "level", F.element_at("pos", -1).alias("pos"), "title", "dest")
+    nodes = objects.where("value IS NOT NULL AND obj > 0").select("doc_id", "obj", *cols)
+
+    def walk(by: dict[int, dict]) -> Iterator[dict]:
+        root = by[0]["first"]
+        met, todo = {root}, [(by[root]["first"], root, 1, 0)] if root in by else []
+        while todo:
+            obj, parent, level, pos = todo.pop()
+            if obj in by and obj not in met:
+                met.add(obj)
+                n = by[obj]
+                yield {"obj": obj, "parent": parent, "level": level, "pos": pos, "title": n["title"], "dest": n["dest"]}
+                todo += [(n["next"], parent, level, pos + 1), (n["first"], obj, level + 1, 0)]
+
+    return _walked(nodes.join(top, "doc_id", "left_semi").unionByName(top, allowMissingColumns=True), walk, "obj int, parent int, level int, pos int, title string, dest string")
 
 
 def names(objects: DataFrame, tree: str) -> DataFrame:
     """doc_id, key, value of a name tree (``Dests``, ``EmbeddedFiles``, …), flattened; of keys that repeat, the last counts."""
-    spark, view, top = objects.sparkSession, f"names_{uuid.uuid4().hex}", f"ntop_{uuid.uuid4().hex}"
-    _deref(_deref(_catalog(objects), objects, "Names", "names").select("doc_id", F.col("names").alias("value")), objects, tree, "tree").where("tree IS NOT NULL").select("doc_id", "tree").createOrReplaceTempView(top)
-    objects.where("value IS NOT NULL AND obj > 0").select("doc_id", "obj", "value").createOrReplaceTempView(view)
-    kids = "transform(from_json(get_json_object({0}, '$.Kids'), 'array<struct<R: array<int>>>'), x -> get(x.R, 0))"
-    nodes = spark.sql(
-        f"""WITH RECURSIVE t(doc_id, value, path, depth) MAX RECURSION LEVEL {MOST_DEPTH} AS (
-            SELECT doc_id, tree, array(0), 0 FROM {top}
-            UNION ALL
-            SELECT t.doc_id, n.value, array_append(t.path, t.pos), t.depth + 1
-            FROM (SELECT doc_id, path, depth, posexplode({kids.format("value")}) AS (pos, kid) FROM t WHERE depth < {MOST_DEPTH - 2}) t
-            JOIN {view} n ON n.doc_id = t.doc_id AND n.obj = t.kid)
-        SELECT doc_id, path, from_json(get_json_object(value, '$.Names'), 'array<string>') AS pairs FROM t WHERE get_json_object(value, '$.Names') IS NOT NULL"""
-    )
+    top = _deref(_deref(_catalog(objects), objects, "Names", "names").select("doc_id", F.col("names").alias("value")), objects, tree, "tree").where("tree IS NOT NULL").select("doc_id", F.lit(0).alias("obj"), F.col("tree").alias("value"))
+    nodes = objects.where("value IS NOT NULL AND obj > 0").join(top, "doc_id", "left_semi").select("doc_id", "obj", "value").unionByName(top)
+    nodes = nodes.select("doc_id", "obj", _refs("value", "Kids").alias("kids"), F.from_json(get("Names"), "array<string>").alias("pairs"))
+
+    def walk(by: dict[int, dict]) -> Iterator[dict]:
+        def kids(node: dict) -> list[dict]:
+            return [by[k] for k in node["kids"] or () if k and k in by]
+
+        for path, node in enumerate(_below([by[0]], kids)):
+            if node["pairs"] is not None:
+                yield {"path": path, "pairs": node["pairs"]}
+
+    nodes = _walked(nodes, walk, "path bigint, pairs array<string>")
     i = F.explode(F.sequence(F.lit(0), (F.size("pairs") / 2).cast("int") - 1))
     flat = nodes.where("size(pairs) >= 2").select("doc_id", "path", "pairs", i.alias("i"))
     flat = flat.select("doc_id", F.substring(F.get("pairs", F.col("i") * 2), 2, 1 << 30).alias("key"), F.get("pairs", F.col("i") * 2 + 1).alias("value"), F.struct("path", "i").alias("place"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import extract, structure
+from leafmill.operators import extract, graph, structure
 from leafmill.operators.text import Match
 from leafmill.parse import filters
 from leafmill.parse.document import Document, Obj, write_document
@@ -138,3 +138,27 @@ def test_writing(spark, files):
     assert later.startswith(data) and Document.load(later, strict=True).get(Ref(4, 0))["Rotate"] == 0
     signed = b"xx/ByteRange [0 4 8 4] 1234567"
     assert write.byte_range_digest(signed) == __import__("hashlib").sha256(signed[:4] + signed[8:12]).hexdigest() and write.byte_range_digest(b"") is None
+
+
+def test_hierarchies_of_any_size(spark):
+    """More rows than a recursive query may make, and chains longer than its levels."""
+    n = 300
+    objects = [Obj(1, 0, {"Type": Name("Catalog"), "Pages": Ref(2, 0), "Outlines": Ref(3, 0), "AcroForm": {"Fields": [Ref(2000, 0)]}, "Names": {"Dests": Ref(3000, 0)}}), Obj(2, 0, {"Type": Name("Pages"), "Kids": [], "Count": 0})]
+    objects += [Obj(3, 0, {"First": Ref(1000, 0)}), Obj(4, 0, {"Parent": Ref(5, 0)}), Obj(5, 0, {"Parent": Ref(4, 0)})]
+    objects += [Obj(1000 + i, 0, {"Title": Text(b"%d" % i)} | ({"Next": Ref(1001 + i, 0)} if i < n - 1 else {})) for i in range(n)]
+    objects += [Obj(2000 + i, 0, {"T": Text(b"t")} | ({"Kids": [Ref(2001 + i, 0)]} if i < n - 1 else {"Kids": [Ref(2000, 0)]}) | ({"Parent": Ref(1999 + i, 0)} if i else {"Found": 7})) for i in range(n)]
+    objects += [Obj(3000 + i, 0, {"Kids": [Ref(3001 + i, 0)]} if i < n - 1 else {"Names": [Text(b"k"), [Ref(2, 0)]]}) for i in range(n)]
+    table = pdf.objects(spark.createDataFrame([(1, write_document(objects, {"Root": Ref(1, 0)}))], "doc_id long, content binary")).cache()
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "3")
+    try:
+        assert [(r.obj, r.pos, r.title) for r in structure.outlines(table).orderBy("pos").collect()] == [(1000 + i, i, str(i)) for i in range(n)]
+        found = {r.obj: r.found for r in structure.inherit_key(table, "Found").collect()}
+        assert len(found) == len(objects) and all((found[o.obj] == "7") == (2000 <= o.obj < 3000) for o in objects)
+        assert {r.obj: len(r.full_name) for r in structure.fields(table).collect()} == {2000 + i: 2 * i + 1 for i in range(n)}
+        assert [(r.key, r.value) for r in structure.names(table, "Dests").collect()] == [("k", '[{"R":[2,0]}]')]
+        nodes = spark.createDataFrame([(i, 0 if i else None, i) for i in range(9)], "node int, parent int, pos int").withColumn("name", F.col("pos").cast("string"))
+        assert sorted((r.node, *r.path) for r in graph.tree_paths(nodes, spark).collect()) == [(0, 0), *((i, 0, i) for i in range(1, 9))]
+    finally:
+        spark.conf.set(limit, before)
