@@ -21,7 +21,7 @@ OPERATORS = {
 ARITY = {name.encode(): n for n, names in OPERATORS.items() for name in names.split()} | {b"TJ": 1}
 
 #: Bits of a warning.
-INVALID_OPERATOR, SPURIOUS_OPERANDS, INVALID_XOBJECT, RECURSIVE_XOBJECT, INVALID_IMAGE, MISSING_END = 1, 2, 4, 8, 16, 32
+INVALID_OPERATOR, SPURIOUS_OPERANDS, INVALID_XOBJECT, RECURSIVE_XOBJECT, INVALID_IMAGE, MISSING_END, MALFORMED = 1, 2, 4, 8, 16, 32, 64
 
 
 class Event(NamedTuple):
@@ -32,6 +32,7 @@ class Event(NamedTuple):
     depth: int
     canvas: dict
     data: bytes = b""
+    error: str | None = None  # of kind unexpected: what could not be read
 
 
 def contents(doc: Document, canvas: dict) -> bytes:
@@ -60,14 +61,26 @@ def resource(doc: Document, canvas: dict, kind: str, name: str):
 
 
 def events(doc: Document, canvas: dict, data: bytes | None = None, path: tuple[int, ...] = ()):
-    """Events of a page or form; ``path`` has the forms that are open."""
+    """Events of a page or form; ``path`` has the forms that are open.
+
+    What can't be read is an event with its error, and reading goes on after it; only a string without an end takes all
+    that follows. Of a strict document the error is raised.
+    """
     r = Reader(contents(doc, canvas) if data is None else data, references=False)
     operands: list = []
     while True:
+        r.skip()
+        begin = r.at
         try:
             v = r.value()
-        except PdfError:
-            return
+        except PdfError as error:
+            if doc.strict:
+                raise
+            yield Event("unexpected", "", operands, MALFORMED, len(path), canvas, error=str(error))
+            if r.at == begin:
+                return
+            operands = []
+            continue
         if v is END:
             return
         if not isinstance(v, Keyword):

@@ -53,8 +53,8 @@ class State:
     word: float = 0.0
 
 
-def page_runs(doc: Document, page: dict) -> list[Run]:
-    """Glyph runs of a page in order. Operators with too few operands are skipped."""
+def page_runs(doc: Document, page: dict, errors: list[str] | None = None) -> list[Run]:
+    """Glyph runs of a page in order. Operators with too few operands are skipped; ``errors`` gets what could not be read."""
     stack, out, chunk = [State()], [], 0
     fonts: dict[object, Font | None] = {}
     saved: list[int] = []
@@ -85,6 +85,8 @@ def page_runs(doc: Document, page: dict) -> list[Run]:
         if e.kind == "form_end":
             del stack[saved.pop() :]
             continue
+        if e.error is not None and errors is not None:
+            errors.append(e.error)
         if e.kind != "operator" or e.warnings & INVALID_OPERATOR:
             continue
         try:

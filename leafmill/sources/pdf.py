@@ -151,23 +151,24 @@ def pages(files: DataFrame, mode: str = "PERMISSIVE", password: str = "", most_o
 
 
 def content_ops(files: DataFrame, mode: str = "PERMISSIVE", password: str = "", most_objects: int = (1 << 23) - 1) -> DataFrame:
-    """Operators of each page in order, forms read in place."""
+    """Operators of each page in order, forms read in place; what can't be read is a row with its error among them."""
 
     def rows(doc_id: int, doc: Document) -> Iterator[dict]:
         for index, _, node in content.pages(doc):
             for seq, e in enumerate(content.events(doc, node)):
-                yield {"doc_id": doc_id, "page_index": index, "seq": seq, "depth": e.depth, "type": e.kind, "op": e.op, "operands": as_json(e.operands), "warnings": e.warnings, "data": e.data or None}
+                yield {"doc_id": doc_id, "page_index": index, "seq": seq, "depth": e.depth, "type": e.kind, "op": e.op, "operands": as_json(e.operands), "warnings": e.warnings, "data": e.data or None, "error": e.error}
 
     return _table(files, CONTENT, rows, mode, password, most_objects)
 
 
 def glyph_runs(files: DataFrame, mode: str = "PERMISSIVE", password: str = "", most_objects: int = (1 << 23) - 1) -> DataFrame:
-    """Shown strings of each page, placed."""
+    """Shown strings of each page, placed; after them a row for each error of the page's content."""
 
     def rows(doc_id: int, doc: Document) -> Iterator[dict]:
         for index, _, node in content.pages(doc):
             rotate = content.inherited(doc, node, "Rotate")
-            for r in page_runs(doc, node):
+            errors: list[str] = []
+            for r in page_runs(doc, node, errors):
                 yield {
                     "doc_id": doc_id,
                     "page_index": index,
@@ -183,5 +184,6 @@ def glyph_runs(files: DataFrame, mode: str = "PERMISSIVE", password: str = "", m
                     "glyphs": [{"text": t, "advance": a} for t, a in r.glyphs],
                     "rotate": int(rotate) % 360 if isinstance(rotate, int | float) else 0,
                 }
+            yield from ({"doc_id": doc_id, "page_index": index, "error": e} for e in errors)
 
     return _table(files, RUNS, rows, mode, password, most_objects)

@@ -162,3 +162,23 @@ def test_hierarchies_of_any_size(spark):
         assert sorted((r.node, *r.path) for r in graph.tree_paths(nodes, spark).collect()) == [(0, 0), *((i, 0, i) for i in range(1, 9))]
     finally:
         spark.conf.set(limit, before)
+
+
+def test_malformed_content_is_marked_and_read_on(spark):
+    deep = b"[" * 300 + b"]" * 300
+    bad = [b"/P << 1 2 >> BDC", b"[(x) foo] TJ", deep + b" TJ"]
+    pages = [b"BT /F 10 Tf 1 0 0 1 10 700 Tm (before) Tj " + b + b" 1 0 0 1 10 600 Tm (after) Tj ET" for b in bad] + [b"BT /F 10 Tf (shown) Tj (no end", b"BT /F 10 Tf (last) Tj ET"]
+    n = len(pages)
+    objects = [Obj(1, 0, {"Type": Name("Catalog"), "Pages": Ref(2, 0)}), Obj(2, 0, {"Type": Name("Pages"), "Kids": [Ref(10 + i, 0) for i in range(n)], "Count": n, "Resources": {"Font": {"F": Ref(9, 0)}}}), Obj(9, 0, FONT)]
+    objects += [Obj(10 + i, 0, {"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": Ref(20 + i, 0)}) for i in range(n)] + [Obj(20 + i, 0, {}, p) for i, p in enumerate(pages)]
+    one = spark.createDataFrame([(1, write_document(objects, {"Root": Ref(1, 0)}))], "doc_id long, content binary")
+    ops = pdf.content_ops(one).collect()
+    assert {r.page_index for r in ops if r.error} == {0, 1, 2, 3} and all(r.type == "unexpected" for r in ops if r.error)
+    runs = pdf.glyph_runs(one).collect()
+    assert {r.page_index for r in runs if r.error} == {0, 1, 2, 3}
+    assert [[r.text for r in runs if r.page_index == i and not r.error] for i in range(n)] == [["before", "after"]] * 3 + [["shown"], ["last"]]
+    assert [r.text for r in extract.text_entries(pdf.glyph_runs(one)).orderBy("page_index", "seq").collect()] == ["before", "after"] * 3 + ["shown", "last"]
+    assert not any(r.error for r in pdf.content_ops(one, "DROPMALFORMED").collect())
+    for table in (pdf.content_ops, pdf.glyph_runs):
+        with pytest.raises(Exception, match="InvalidDataType"):
+            table(one, "FAILFAST").collect()
