@@ -4,6 +4,7 @@ columns that the walk needs: less than the parse of the document held."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from leafmill.functions import values
 from leafmill.operators import graph
+from leafmill.parse import filters
+from leafmill.parse.tokens import PdfError
 
 
 def get(key: str, value: str | Column = "value") -> Column:
@@ -211,12 +214,37 @@ def destinations(objects: DataFrame, pages: DataFrame) -> DataFrame:
 METADATA = {"title": ("Title", "title"), "author": ("Author", "creator"), "subject": ("Subject", "description"), "keywords": ("Keywords", "Keywords"), "creator": ("Creator", "CreatorTool"), "producer": ("Producer", "Producer")}
 
 
+def _decoded(stream: str, chain: str, parms: Column) -> Column:
+    """data, error: a stream decoded by its chain of filters, or what is against it."""
+
+    @F.arrow_udf("struct<data: binary, error: string>")
+    def of(streams: pa.Array, chains: pa.Array, parms: pa.Array) -> pa.Array:
+        out = []
+        for stream, chain, parm in zip(streams.to_pylist(), chains.to_pylist(), parms.to_pylist()):
+            try:
+                given = json.loads(parm) if parm else None
+                given = given if isinstance(given, list) else [given]
+                if any(isinstance(p, dict) and "R" in p for p in given):
+                    raise PdfError("UnsupportedFilter", "parameters by reference")
+                data, rest = filters.decode(stream or b"", chain or [], [p if isinstance(p, dict) else None for p in given])
+                if rest:
+                    raise PdfError("UnsupportedFilter", rest[0])
+                out.append({"data": data, "error": None})
+            except (PdfError, ValueError) as error:
+                out.append({"data": None, "error": str(error)})
+        return pa.array(out, pa.struct([("data", pa.binary()), ("error", pa.string())]))
+
+    return of(stream, chain, parms)
+
+
 def metadata(objects: DataFrame) -> DataFrame:
-    """doc_id and the document's metadata: the information dictionary's, else XMP's; the PDF/A level from XMP only."""
+    """doc_id and the document's metadata: the information dictionary's, else XMP's; the PDF/A level from XMP only; the
+    error of an XMP stream that can't be decoded."""
     trailer = objects.where("obj = 0").select("doc_id", "value")
     info = _deref(trailer, objects, "Info", "info").select("doc_id", "info")
-    meta = _catalog(objects).select("doc_id", ref_of("Metadata").alias("obj")).join(objects.where("size(filters) = 0").select("doc_id", "obj", "stream_raw"), ["doc_id", "obj"])
-    xmp = meta.select("doc_id", F.decode("stream_raw", "UTF-8").alias("xmp"))
+    meta = _catalog(objects).select("doc_id", ref_of("Metadata").alias("obj")).join(objects.select("doc_id", "obj", "stream_raw", "filters", "value"), ["doc_id", "obj"])
+    meta = _deref(_deref(meta, objects, "DecodeParms", "parms"), objects, "DP", "short")
+    xmp = meta.select("doc_id", _decoded("stream_raw", "filters", F.coalesce("parms", "short")).alias("of")).select("doc_id", F.decode("of.data", "UTF-8").alias("xmp"), "of.error")
     both = info.join(xmp, "doc_id", "left")
     element = lambda name: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("xmp", rf"(?s)<(?:\w+:)?{name}\b[^>]*>(.*?)</(?:\w+:)?{name}>", 1), "<[^>]*>", "")), F.lit(""))
     attribute = lambda name: F.nullif(F.regexp_extract("xmp", rf"\bpdfaid:{name}(?:=\"|>)([^\"<]*)", 1), F.lit(""))
@@ -228,6 +256,7 @@ def metadata(objects: DataFrame) -> DataFrame:
         date("CreationDate").offset_min.alias("created_offset_min"),
         date("ModDate").ts.alias("modified"),
         F.nullif(F.concat(F.coalesce(attribute("part"), F.lit("")), F.coalesce(attribute("conformance"), F.lit(""))), F.lit("")).alias("pdfa_level"),
+        "error",
     )
 
 

@@ -182,3 +182,26 @@ def test_malformed_content_is_marked_and_read_on(spark):
     for table in (pdf.content_ops, pdf.glyph_runs):
         with pytest.raises(Exception, match="InvalidDataType"):
             table(one, "FAILFAST").collect()
+
+
+def test_metadata_of_filtered_streams(spark):
+    xmp = b'<x:xmpmeta><dc:title><rdf:Alt><rdf:li>Packed</rdf:li></rdf:Alt></dc:title><d pdfaid:part="2" pdfaid:conformance="U"/></x:xmpmeta>'
+    sub = lambda data: b"".join(b"\x01" + bytes((c - (row[i - 1] if i else 0)) & 255 for i, c in enumerate(row)) for row in (data[k : k + 10] for k in range(0, len(data), 10)))
+    padded = xmp + b" " * (-len(xmp) % 10)
+    flate = lambda data: filters.encode(data, ["FlateDecode"])
+    predicted = {"Predictor": 15, "Columns": 10}
+    kinds = [
+        ({}, xmp),
+        ({"Filter": Name("FlateDecode")}, flate(xmp)),
+        ({"Filter": [Name("ASCIIHexDecode"), Name("FlateDecode")]}, filters.encode(xmp, ["ASCIIHexDecode", "FlateDecode"])),
+        ({"Filter": Name("FlateDecode"), "DecodeParms": predicted}, flate(sub(padded))),
+        ({"Filter": Name("FlateDecode"), "DecodeParms": Ref(4, 0)}, flate(sub(padded))),
+        ({"Filter": Name("Odd")}, xmp),
+    ]
+    rows = []
+    for i, (d, stream) in enumerate(kinds):
+        objects = [Obj(1, 0, {"Type": Name("Catalog"), "Pages": Ref(2, 0), "Metadata": Ref(3, 0)}), Obj(2, 0, {"Type": Name("Pages"), "Kids": [], "Count": 0}), Obj(3, 0, {"Type": Name("Metadata")} | d, stream), Obj(4, 0, predicted)]
+        rows.append((i, write_document(objects, {"Root": Ref(1, 0)})))
+    got = structure.metadata(pdf.objects(spark.createDataFrame(rows, "doc_id long, content binary"))).orderBy("doc_id").collect()
+    assert [(r.title, r.pdfa_level) for r in got] == [("Packed", "2U")] * 5 + [(None, None)]
+    assert [r.error is None for r in got] == [True] * 5 + [False] and "Odd" in got[5].error
