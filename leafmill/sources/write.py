@@ -44,9 +44,26 @@ def collect_garbage(objects: list[Obj], trailer: dict) -> list[Obj]:
     return [by[n] for n in sorted(seen)]
 
 
+def _top_items(doc: Document) -> tuple[list[int], int]:
+    """Numbers of the outline's items of the first level in order, nodes met again left out, and how many items show."""
+    root = doc.get(doc.trailer.get("Root"))
+    top = doc.get(root.get("Outlines")) if isinstance(root, dict) else None
+    found: dict[int, None] = {}
+    ref = top.get("First") if isinstance(top, dict) else None
+    while isinstance(ref, Ref) and ref.obj not in found and isinstance(item := doc.get(ref), dict):
+        found[ref.obj] = None
+        ref = item.get("Next")
+    count = top.get("Count") if found else 0
+    return list(found), count if isinstance(count, int) and count >= len(found) else len(found)
+
+
 def merge_documents(parts: list[bytes], ranges: list[tuple[int, int] | None] | None = None) -> bytes:
-    """Pages of all parts in order; ``ranges`` (first, count) take a slice of a part. Inherited attributes go into the pages."""
+    """Pages of all parts in order; ``ranges`` (first, count) take a slice of a part. Inherited attributes go into the pages.
+
+    Outlines of whole parts follow one another under one root; name trees aren't merged.
+    """
     objects, kids, following = [], [], 3
+    items, shown = [], 0
     for k, data in enumerate(parts):
         doc = Document.load(data)
         offset = following - 1
@@ -64,8 +81,20 @@ def merge_documents(parts: list[bytes], ranges: list[tuple[int, int] | None] | N
                     page[key] = v
             by[ref.obj + offset].value = rebase(page, offset) | {"Parent": Ref(2, 0)}
             kids.append(Ref(ref.obj + offset, 0))
+        if span is None:
+            top, count = _top_items(doc)
+            items += [by[n + offset] for n in top if n + offset in by]
+            shown += count
         following = max((o.obj for o in objects), default=2) + 1
-    objects += [Obj(1, 0, {"Type": Name("Catalog"), "Pages": Ref(2, 0)}), Obj(2, 0, {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)})]
+    catalog = {"Type": Name("Catalog"), "Pages": Ref(2, 0)}
+    if items:
+        refs = [Ref(o.obj, 0) for o in items]
+        for o, before, after in zip(items, [None, *refs], [*refs[1:], None]):
+            near = {"Parent": Ref(following, 0), "Prev": before, "Next": after}
+            o.value = {k: v for k, v in o.value.items() if k not in near} | {k: v for k, v in near.items() if v is not None}
+        objects.append(Obj(following, 0, {"Type": Name("Outlines"), "First": refs[0], "Last": refs[-1], "Count": shown}))
+        catalog["Outlines"] = Ref(following, 0)
+    objects += [Obj(1, 0, catalog), Obj(2, 0, {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)})]
     trailer = {"Root": Ref(1, 0)}
     return write_document(collect_garbage(objects, trailer), trailer)
 

@@ -205,3 +205,28 @@ def test_metadata_of_filtered_streams(spark):
     got = structure.metadata(pdf.objects(spark.createDataFrame(rows, "doc_id long, content binary"))).orderBy("doc_id").collect()
     assert [(r.title, r.pdfa_level) for r in got] == [("Packed", "2U")] * 5 + [(None, None)]
     assert [r.error is None for r in got] == [True] * 5 + [False] and "Odd" in got[5].error
+
+
+def test_merged_outlines(spark, files):
+    def part(title: bytes, count: int) -> bytes:
+        objects = [Obj(1, 0, {"Type": Name("Catalog"), "Pages": Ref(2, 0)} | ({"Outlines": Ref(5, 0)} if count else {})), Obj(2, 0, {"Type": Name("Pages"), "Kids": [Ref(3, 0)], "Count": 1}), Obj(3, 0, {"Type": Name("Page"), "Parent": Ref(2, 0)})]
+        objects += [Obj(5, 0, {"First": Ref(10, 0), "Last": Ref(9 + count, 0), "Count": count})] if count else []
+        objects += [Obj(10 + i, 0, {"Title": Text(title + b"%d" % i), "Parent": Ref(5, 0), "Dest": [Ref(3, 0), Name("Fit")]} | ({"Next": Ref(11 + i, 0)} if i < count - 1 else {})) for i in range(count)]
+        return write_document(objects, {"Root": Ref(1, 0)})
+
+    parts = [part(b"a", 2), part(b"none", 0), bytes(files.where("path LIKE '%a.pdf'").first().content), part(b"b", 1)]
+    rows = spark.createDataFrame([(1, i, p) for i, p in enumerate(parts)], "into int, ord int, content binary")
+    merged = bytes(write.merge(rows).first().content)
+    table = pdf.objects(spark.createDataFrame([(1, merged)], "doc_id long, content binary"), "FAILFAST").cache()
+    got = structure.outlines(table).orderBy("level", "pos").collect()
+    assert [(r.title, r.level, r.pos) for r in got] == [("a0", 1, 0), ("a1", 1, 1), ("One", 1, 2), ("Two", 1, 3), ("b0", 1, 4), ("Inner", 2, 0)]
+    doc = Document.load(merged, strict=True)
+    top = doc.get(doc.get(doc.trailer["Root"])["Outlines"])
+    assert (doc.get(top["First"])["Title"], doc.get(top["Last"])["Title"], top["Count"]) == (b"a0", b"b0", 5)
+    from leafmill.parse import content
+
+    at = {ref: i for i, ref, _ in content.pages(doc)}
+    by = {o.value["Title"]: o.value for o in doc.objects.values() if isinstance(o.value, dict) and "Title" in o.value}
+    assert [at[by[t]["Dest"][0]] for t in (b"a0", b"a1", b"b0")] == [0, 0, 4]
+    assert "Prev" not in by[b"a0"] and doc.get(by[b"b0"]["Prev"])["Title"] == b"Two" and doc.get(by[b"Inner"]["Parent"])["Title"] == b"One"
+    assert len({by[t]["Parent"] for t in (b"a0", b"a1", b"One", b"Two", b"b0")}) == 1
