@@ -139,10 +139,12 @@ def fields(objects: DataFrame) -> DataFrame:
 
 
 def annotations(objects: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, page_index, idx, obj, subtype, flags, contents, rect, uri, dest in the pages' order."""
+    """doc_id, page_index, idx, obj, subtype, flags, contents, rect, uri, dest in the pages' order; obj is null of what is in place."""
     own = pages.where("error IS NULL").select("doc_id", "page_index", "value")
-    lists = _deref(own, objects, "Annots", "annots").select("doc_id", "page_index", F.posexplode(F.from_json("annots", "array<struct<R: array<int>>>")).alias("idx", "r"))
-    found = lists.select("doc_id", "page_index", "idx", F.get("r.R", F.lit(0)).alias("obj")).join(objects.select("doc_id", "obj", "value"), ["doc_id", "obj"])
+    lists = _deref(own, objects, "Annots", "annots").select("doc_id", "page_index", F.posexplode(F.from_json("annots", "array<string>")).alias("idx", "item"))
+    lists = lists.withColumn("obj", F.get_json_object("item", "$.R[0]").try_cast("int"))
+    found = lists.join(objects.select("doc_id", "obj", "value", F.lit(True).alias("met")), ["doc_id", "obj"], "left").where("met OR obj IS NULL AND item LIKE '{%'")
+    found = found.withColumn("value", F.when(F.col("met"), F.col("value")).otherwise(F.col("item")))
     return found.select(
         "doc_id",
         "page_index",

@@ -230,3 +230,12 @@ def test_merged_outlines(spark, files):
     assert [at[by[t]["Dest"][0]] for t in (b"a0", b"a1", b"b0")] == [0, 0, 4]
     assert "Prev" not in by[b"a0"] and doc.get(by[b"b0"]["Prev"])["Title"] == b"Two" and doc.get(by[b"Inner"]["Parent"])["Title"] == b"One"
     assert len({by[t]["Parent"] for t in (b"a0", b"a1", b"One", b"Two", b"b0")}) == 1
+
+
+def test_annotations_in_place(spark):
+    note = lambda text, **more: {"Subtype": Name("Text"), "Contents": Text(text), "F": 2, "Rect": [1, 2, 3, 4]} | more
+    objects = [Obj(1, 0, {"Type": Name("Catalog"), "Pages": Ref(2, 0)}), Obj(2, 0, {"Type": Name("Pages"), "Kids": [Ref(3, 0)], "Count": 1})]
+    objects += [Obj(3, 0, {"Type": Name("Page"), "Parent": Ref(2, 0), "Annots": [note(b"in place", P=Ref(3, 0)), Ref(4, 0), None, Ref(99, 0), note(b"last")]}), Obj(4, 0, note(b"by reference"))]
+    one = spark.createDataFrame([(1, write_document(objects, {"Root": Ref(1, 0)}))], "doc_id long, content binary")
+    got = structure.annotations(pdf.objects(one), pdf.pages(one)).orderBy("idx").collect()
+    assert [(r.idx, r.obj, r.subtype, r.flags, r.contents, r.rect) for r in got] == [(i, obj, "Text", 2, text, [1, 2, 3, 4]) for i, obj, text in ((0, None, "in place"), (1, 4, "by reference"), (4, None, "last"))]
