@@ -88,7 +88,11 @@ class Document:
                 raise
             doc._rebuild()
         doc._unlock()
+        unlisted = doc._list_members() if doc.rebuilt else {}
         doc._read_objects()
+        for obj, error in unlisted.items():
+            if obj in doc.objects:
+                doc.objects[obj].error = error
         root = doc.get(doc.trailer.get("Root"))
         if isinstance(root, dict) and isinstance(root.get("Version"), Name) and root["Version"] > doc.version:
             doc.version = str(root["Version"])
@@ -220,9 +224,43 @@ class Document:
                     self.trailer["Root"] = Ref(e.obj, e.gen)
                 elif isinstance(value, dict) and value.get("Type") == "XRef":
                     self.trailer |= {k: v for k, v in value.items() if k in ("Root", "Info", "Encrypt", "ID")}
+        if "Root" not in self.trailer and "Encrypt" not in self.trailer:
+            self._list_members()
+            for container in sorted({e.container for e in self.entries.values() if e.kind == "compressed"}, key=lambda c: self.entries[c].offset):
+                try:
+                    found = self._parse_at(self.entries[container].offset, None)
+                    data = found.decoded()
+                    for obj, offset in _pairs(found):
+                        value = Reader(data, found.value.get("First", 0) + offset).value()
+                        if isinstance(value, dict) and value.get("Type") == "Catalog" and obj in self.entries and self.entries[obj].container == container:
+                            self.trailer["Root"] = Ref(obj, 0)
+                except PdfError:
+                    continue  # objects with their errors
         if "Root" not in self.trailer:
             raise PdfError("NoTrailer", "no Root")
 
+    def _list_members(self) -> dict[int, str]:
+        """Enters what the object streams of a rebuilt file hold, the last of a number counting; errors of those that can't be read."""
+        errors: dict[int, str] = {}
+        if b"ObjStm" not in self.data:
+            return errors
+        for e in sorted((e for e in self.entries.values() if e.kind == "used"), key=lambda e: e.offset):
+            try:
+                found = self._parse_at(e.offset, self.security)
+            except PdfError:
+                continue  # an object with its error
+            if not isinstance(found.value, dict) or found.value.get("Type") != "ObjStm" or found.stream is None or found.obj != e.obj:
+                continue
+            try:
+                for i, (obj, _) in enumerate(_pairs(found)):
+                    before = self.entries.get(obj)
+                    if obj <= self.most_objects and obj != e.obj and (before is None or before.kind != "used" or before.offset < e.offset):
+                        self.entries[obj] = Entry(obj, "compressed", container=e.obj, index=i)
+            except PdfError as error:
+                errors[e.obj] = str(error)
+        self.history = list(self.entries.values())
+        return errors
+
     # objects
 
     def _unlock(self) -> None:
@@ -327,6 +365,16 @@ class Document:
         return found.decoded() if found and found.stream is not None else b""
 
 
+def _pairs(found: Obj):
+    """(number, offset) of an object stream's members."""
+    n, head = found.value.get("N", 0), Reader(found.decoded(), references=False)
+    for _ in range(n if isinstance(n, int) else 0):
+        obj, offset = head.value(), head.value()
+        if not isinstance(obj, int) or not isinstance(offset, int) or offset < 0:
+            raise PdfError("InvalidObjectStream", "no pair of numbers")
+        yield obj, offset
+
+
 def _decrypted(v, security: Security, obj: int, gen: int, sig: bool = False):
     if isinstance(v, Text):
         return Text(security.decrypt(v, obj, gen))

@@ -209,3 +209,21 @@ def test_unicode_maps_and_glyph_names():
     with pytest.raises(PdfError):
         read_cmap(b"1 beginbfrange (a) 2 3 endbfrange")
     assert [glyph_text(n) for n in ("A", "space", "eacute", "uni20AC", "u1F600", "f_i", "alpha", "nosuchglyph", "a.alt")] == ["A", " ", "é", "€", "\U0001f600", "fi", "α", "", "a"]
+
+
+def test_rebuilt_files_have_what_object_streams_hold():
+    def packed(number: int, members: dict[int, bytes], filtered: bool = True, extra: bytes = b"") -> bytes:
+        head, bodies = b"", b""
+        for n, body in members.items():
+            head += b"%d %d " % (n, len(bodies))
+            bodies += body + b" "
+        stream = filters.encode(head + bodies, ["FlateDecode"]) if filtered else head + bodies
+        return b"%d 0 obj\n<</Type/ObjStm/N %d/First %d/Length %d%s>>\nstream\n" % (number, len(members), len(head), len(stream), b"/Filter/FlateDecode" if filtered else extra) + stream + b"\nendstream\nendobj\n"
+
+    plain = lambda n, body: b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    kept = plain(5, b"<</Old 1>>") + packed(10, {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R]/Count 1>>", 3: b"<</Type/Page/Parent 2 0 R>>", 4: b"<</Old 1>>", 5: b"<</New 1>>", 6: b"<</Old 1>>"})
+    data = b"%PDF-1.7\n" + kept + plain(4, b"<</New 1>>") + packed(11, {6: b"<</New 1>>", 7: b"(x)"}) + packed(12, {8: b"1"}, False, b"/Filter/Odd") + b"startxref\n99999\n%%EOF"
+    doc = Document.load(data)
+    assert doc.rebuilt and [doc.get(Ref(n, 0)) for n in (4, 5, 6)] == [{"New": 1}] * 3 and doc.get(Ref(7, 0)) == b"x"
+    assert [ref for _, ref, _ in content.pages(doc)] == [Ref(3, 0)] and doc.objects[3].container == 10
+    assert "Odd" in doc.objects[12].error and sorted(e.obj for e in doc.history if e.kind == "compressed") == [1, 2, 3, 5, 6, 7]
