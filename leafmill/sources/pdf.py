@@ -28,8 +28,11 @@ DOCUMENTS = "doc_id bigint, version string, trailer string, n_objects int, n_byt
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (a hash of the path), path, content of the files under a path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    """doc_id (a hash of the path), path, content of the PDF files under a path, at any depth and in any case of the ending.
+
+    As with all of Spark's readers, names that begin with a dot or underscore are passed over.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
     return files.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 

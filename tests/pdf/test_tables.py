@@ -239,3 +239,11 @@ def test_annotations_in_place(spark):
     one = spark.createDataFrame([(1, write_document(objects, {"Root": Ref(1, 0)}))], "doc_id long, content binary")
     got = structure.annotations(pdf.objects(one), pdf.pages(one)).orderBy("idx").collect()
     assert [(r.idx, r.obj, r.subtype, r.flags, r.contents, r.rect) for r in got] == [(i, obj, "Text", 2, text, [1, 2, 3, 4]) for i, obj, text in ((0, None, "in place"), (1, 4, "by reference"), (4, None, "last"))]
+
+
+def test_files_of_subfolders_and_any_case(spark, tmp_path):
+    for name in ("a.pdf", "B.PDF", "one/c.Pdf", "one/two/d.pdf", "e.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(sample())
+    got = pdf.read_files(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "path", "content"] and sorted(r.path.rsplit("/", 1)[1] for r in got.collect()) == ["B.PDF", "a.pdf", "c.Pdf", "d.pdf"]
