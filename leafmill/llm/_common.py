@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,14 +16,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in tests on one machine,
-    a temporary folder is made and set as the checkpoint folder.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and all runs in one process, as in tests,
+    a temporary folder is made and set as the checkpoint folder; on a cluster it must be set.
     """
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get().rstrip("/")
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="leafmill-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -44,6 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str, *more: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, in any case of its letters, nor ``more``."""
+    taken = {c.lower() for c in (*df.columns, *more)}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's token cache.
-CACHED_TOKENS = 400_000
-
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as an empty text."""
@@ -26,16 +23,3 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, h
     pairs = docs.sparkSession.createDataFrame([(int(r.doc_id), int(r.label)) for r in chosen], "doc_id long, label int")
     found = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(pairs), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-
-
-class TokenIds(dict):
-    """Ids of tokens, computed when first seen; starts anew when full."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= CACHED_TOKENS:
-            self.clear()
-        self[token] = value = self.make(token)
-        return value

@@ -1,8 +1,9 @@
 """Toxicity: logistic regression by FTRL-proximal over hashed word n-grams and skip-grams.
 
 Features of a text are the presence of words, of pairs of neighbouring words and of pairs with one word between
-them, hashed into 2^20 coordinates. Training goes through a bounded sample of labelled texts (``TRAIN_ROWS``) in one
-task, with a learning rate of each coordinate's own and an L1 term that leaves nearly all weights at zero. The few
+them, hashed into 2^20 coordinates. Training goes through a bounded sample of labelled texts (``TRAIN_ROWS``, and
+``TRAIN_FEATURES`` in all) in one task, with a learning rate of each coordinate's own and an L1 term that leaves nearly
+all weights at zero. Features are made where the texts lie, so that task holds whole numbers only. The few weights
 that remain are collected, broadcast, and applied where each text is read; scoring shuffles nothing.
 
 Defined cases: a null or empty text has the bias only, and so a score of its own; very long texts are read whole.
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._labels import CACHED_TOKENS, TokenIds, fold, labelled_texts
+from leafmill.llm._labels import fold, labelled_texts
+from leafmill.llm._tokens import CACHED_CHARS, CACHED_TOKENS, claim, keeps
 
-#: Labelled rows that training sees at most, and how often it sees each.
-TRAIN_ROWS, EPOCHS = 12_000, 3
+#: Labelled rows that training sees at most, the features they may have in all (rows beyond are left out), and how often it sees each.
+TRAIN_ROWS, TRAIN_FEATURES, EPOCHS = 12_000, 1 << 24, 3
 
 #: Coordinates, and FTRL's learning rate, its smoothing, L1 and L2.
 BITS, ALPHA, BETA, L1, L2 = 20, 0.3, 1.0, 6.0, 1.0
@@ -38,18 +40,40 @@ _WORD = re.compile(r"\w+")
 #: Beside a word as it is, its first letters: inflected forms share a coordinate.
 STEMS = (4, 6)
 
+#: Words whose features are made at once.
+TOGETHER = 1 << 16
 
-_rows = np.zeros((CACHED_TOKENS, 1 + len(STEMS)), np.uint64)
 
+def _hashes(word: str) -> tuple[int, ...]:
+    """Hashes of the word and of its stems, told apart by their length."""
+    return (zlib.crc32(word.encode()), *(zlib.crc32(f"{n} {word[:n]}".encode()) for n in STEMS))
 
-def _row(word: str) -> int:
-    """The row of ``_rows`` that holds the hashes of the word and of its stems, told apart by their length."""
-    at = len(_ids)
-    _rows[at] = (zlib.crc32(word.encode()), *(zlib.crc32(f"{n} {word[:n]}".encode()) for n in STEMS))
-    return at
 
+class _Rows:
+    """Hashes of words: a table, and each word's row in it. Starts anew when it holds too many words or characters."""
+
+    def __init__(self):
+        self.clear()
+        keeps(self.clear)
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.chars, self.table = 0, np.zeros((1 << 12, 1 + len(STEMS)), np.uint64)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.at) + len(words) > CACHED_TOKENS + TOGETHER or self.chars > CACHED_TOKENS * CACHED_CHARS:
+            self.clear()
+        at = self.at
+        for word in set(words).difference(at):
+            if len(self.table) == len(at):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[len(at)] = _hashes(word)
+            at[word] = len(at)
+            self.chars += len(word)
+        return self.table[np.fromiter(map(at.__getitem__, words), np.int64, len(words))]
 
-_ids = TokenIds(_row)
+
+_rows = _Rows()
 
 
 class Model(NamedTuple):
@@ -59,15 +83,16 @@ class Model(NamedTuple):
     weight: np.ndarray
 
 
-def features(text: str) -> np.ndarray:
+def coordinates(text: str) -> np.ndarray:
     """Coordinates of a text's words, stems, pairs and skip pairs, repeats included; 0 is kept for the bias."""
     words = _WORD.findall(text.lower())
-    if len(_ids) + len(words) > CACHED_TOKENS:
-        _ids.clear()
-    if len(words) > CACHED_TOKENS:  # in parts that overlap, so that no pair is lost
-        half = CACHED_TOKENS // 2
-        return np.concatenate([features(" ".join(words[at : at + half + 2])) for at in range(0, len(words), half)])
-    hashes = _rows[np.fromiter(map(_ids.__getitem__, words), np.int64, len(words))]
+    # in parts that overlap by two words, so that no pair is lost
+    parts = [_coordinates(words[at : at + TOGETHER + 2]) for at in range(0, max(1, len(words)), TOGETHER)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def _coordinates(words: list[str]) -> np.ndarray:
+    hashes = _rows(words)
     h = hashes[:, 0]
     near, far = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
     with np.errstate(over="ignore"):
@@ -76,7 +101,12 @@ def features(text: str) -> np.ndarray:
         x = np.concatenate(parts)
         x ^= x >> np.uint64(29)
         x = x * far
-    return np.maximum((x >> np.uint64(64 - BITS)).astype(np.int64), 1)
+    return np.maximum((x >> np.uint64(64 - BITS)).astype(np.int32), 1)
+
+
+def features(text: str) -> np.ndarray:
+    """The text's coordinates, each once."""
+    return np.unique(coordinates(text))
 
 
 class Ftrl:
@@ -106,8 +136,9 @@ def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
-    rows = [np.unique(np.r_[0, features(t)]) for t in texts]
+def train(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> Model:
+    """``rows``: the features of each text."""
+    rows = [np.concatenate([np.zeros(1, np.int32), r]) for r in rows]
     ftrl, order = Ftrl(), np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
@@ -115,34 +146,53 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     return ftrl.model()
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Trains in one task on at most ``rows`` labelled texts; only weights that aren't zero come back."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_features: int = TRAIN_FEATURES) -> Model:
+    """Trains in one task on at most ``rows`` labelled texts, in the order of a hash of their ids; only weights that aren't zero come back."""
     sample = labelled_texts(docs, labels, "toxic", FOLDS, HELD_OUT, rows)
 
+    @F.arrow_udf("binary")
+    def made(texts: pa.Array) -> pa.Array:
+        claim("toxicity")
+        return pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, marks = [], []
+        held, marks, n = [], [], 0
         for batch in batches:
-            texts += batch.column("text").to_pylist()
-            marks += batch.column("label").to_pylist()
-        model = train(texts, marks)
+            for data, label in zip(batch.column("made"), batch.column("label").to_pylist()):
+                at = np.frombuffer(data.as_py(), np.int32)
+                n += len(at)
+                if n <= most_features:
+                    held.append(at)
+                    marks.append(label)
+        model = train(held, marks)
         yield pa.RecordBatch.from_arrays([pa.array(model.at), pa.array(model.weight)], names=["at", "weight"])
 
-    got = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(run, "at int, weight float").toPandas()
+    ready = sample.select("doc_id", "label", made("text").alias("made")).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    got = ready.select("made", "label").mapInArrow(run, "at int, weight float").toPandas()
     return Model(got["at"].to_numpy(np.int32), got["weight"].to_numpy(np.float32))
 
 
 class Scorer:
     def __init__(self, model: Model):
+        self.model = model
         self.dense = np.zeros(1 << BITS, np.float32)
         self.dense[model.at] = model.weight
 
     def __call__(self, text: str | None) -> float:
-        at = features(text or "")
+        at = coordinates(text or "")
         held = np.unique(at[self.dense[at] != 0])
-        return sigmoid(float(self.dense[0]) + float(self.dense[held].sum()))
+        return sigmoid(float(self.dense[0]) + float(self.dense[held].sum(dtype=np.float64)))
 
 
-_scorers: dict[int, Scorer] = {}
+_scorer: list[Scorer] = []
+keeps(_scorer.clear)
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The scorer of this very model: it holds the model, so another one can't be taken for it."""
+    if not _scorer or _scorer[0].model is not model:
+        _scorer[:] = [Scorer(model)]
+    return _scorer[0]
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -151,19 +201,13 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
 
     @F.arrow_udf("double")
     def likely(texts: pa.Array) -> pa.Array:
-        scorer = _scorer(sent.value)
+        claim("toxicity")
+        scorer = scorer_of(sent.value)
         return pa.array((scorer(t.as_py()) for t in texts), pa.float64(), size=len(texts))
 
     return df.withColumn(out, likely(F.col(text)))
 
 
-def _scorer(model: Model) -> Scorer:
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = Scorer(model)
-    return _scorers[id(model)]
-
-
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of all documents."""
     rows = score(docs.select("doc_id", "text"), fit(docs, labels)).drop("text")
