@@ -21,22 +21,29 @@ import re
 import struct
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm._common import fresh
+from leafmill.llm._tokens import CACHED_CHARS, claim, keeps
+
 #: Bounds of a worker's caches, in entries: words of a text, and pieces that the pattern cuts.
-CACHED_WORDS, CACHED_PIECES, CACHED_CHARS = 300_000, 200_000, 48
+CACHED_WORDS, CACHED_PIECES = 1 << 17, 1 << 16
 #: Characters of text that are encoded together, and bytes of a piece up to which pieces are merged together.
 BATCH_CHARS, TOGETHER = 2_000_000, 64
 
+#: Fixed value: the pattern for which the two short cuts below hold; with any other, texts are cut by it alone.
+SPLIT_PATTERN = public_tokenizers.PATTERN
 #: Where a text may be cut before the pattern is tried. Python's \S leaves out all that is white space in Unicode.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: A space or none, letters, and marks of ASCII: what the pattern cuts into one or two pieces. No mark before the letters, so no contraction.
 _PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-/:-@\[-`{-~]*)")
 
 _loaded: dict[tuple[str, str], "Codec"] = {}
+keeps(_loaded.clear)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -198,7 +205,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pairs = ranks, PairTable(ranks)
-        self.pieces = regex.compile(pattern)
+        self.pieces, self.plain = regex.compile(pattern), pattern == SPLIT_PATTERN
         self.tokens = {i: token for token, i in ranks.items()}
         #: Of a word without the space before it, and of one with it; "" is the word of no text.
         self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
@@ -246,7 +253,20 @@ class Codec:
                 part = group[at : at + 4096]
                 known.update(zip((p for p, _ in part), merge_many([raw for _, raw in part], self.ranks, self.pairs)))
 
+    def _cut_alone(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that the pattern alone cuts."""
+        if len(self.by_piece) > CACHED_PIECES:
+            self.by_piece.clear()
+        cuts = [[m[0] for m in self.pieces.finditer(text)] for text in texts]
+        self._merge({p for cut in cuts for p in cut if p}.difference(self.by_piece))
+        out = [b"".join(self.by_piece[p] for p in cut if p) for cut in cuts]
+        for key in [k for k in self.by_piece if len(k) > CACHED_CHARS]:
+            del self.by_piece[key]
+        return out
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        if not self.plain:
+            return self._cut_alone(texts)
         splits = [text.split(" ") for text in texts]
         for cache, most in ((self.by_piece, CACHED_PIECES), (self.words[0], CACHED_WORDS // 10), (self.words[1], CACHED_WORDS)):
             if len(cache) > most:
@@ -278,6 +298,7 @@ class Codec:
 
 def codec(path: str, pattern: str) -> Codec:
     """The codec of a rank file, read once by each Python worker."""
+    claim("bpe")
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Codec(read_ranks(path), pattern)
     return _loaded[path, pattern]
@@ -320,7 +341,8 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
         packed = _encoded(c, texts)
         return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(map(c.decode, packed), pa.binary(), size=len(packed))], names=["ids", "decoded"])
 
-    return df.withColumn("_both", both(F.col(text))).withColumns({ids: F.col("_both.ids"), decoded: F.col("_both.decoded")}).drop("_both")
+    h = fresh(df, "both")
+    return df.withColumn(h, both(F.col(text))).withColumns({ids: F.col(h).ids, decoded: F.col(h).decoded}).drop(h)
 
 
 def _encoded(c: Codec, texts: pa.Array) -> list[bytes]:
