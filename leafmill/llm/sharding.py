@@ -6,7 +6,7 @@ gathered into one task: rows are counted by (shard, chunk), chunk offsets are su
 rows are ranked inside a chunk only.
 
 Defined cases: a null key hashes as Spark's ``xxhash64(NULL)`` does, so all null keys share a shard. Repeated
-rows are placed alike and get slots of their own. An empty table gives an empty result. Other columns pass
+rows are placed alike and get slots of their own, neighbouring or not. An empty table gives an empty result. Other columns pass
 through; an input column named like an output is replaced by the output.
 """
 
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm._common import fresh, shuffle_partitions, written
+
 #: Fixed value: the multiplier of the 64-bit generator in the published jump hash algorithm.
 _STEP = np.uint64(2862933555777941757)
 
@@ -59,21 +61,24 @@ def assign_shards(df: DataFrame, key: str, shards: int, grown: bool = False) ->
 def number_slots(df: DataFrame, order: list[str], shard: str = "shard", chunks: int | None = None) -> DataFrame:
     """Adds ``slot``, gapless from 0 in each shard.
 
-    ``chunks`` parts of each shard, told apart by a hash of the order columns, are ranked apart; it grows with
-    the number of shuffle partitions, so a chunk stays as small as a partition. The offsets table has at most
-    shards x chunks rows. Rows equal in all order columns get neighbouring slots in any order.
+    ``chunks`` parts of each shard are ranked apart; their number grows with the shuffle partitions, so a chunk stays as
+    small as a partition. A row's chunk is a hash of all order columns and of its place in the input, so that no
+    key and no rows repeated however often make a large one; the table, which should be narrow, is written once
+    with it, since both passes must see the same chunks. The offsets have shards x chunks rows at most, and Spark
+    chooses how to join them. Inside a chunk rows follow the order columns.
     """
-    spark = df.sparkSession
-    chunks = chunks or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.withColumn("_chunk", F.pmod(F.xxhash64(F.lit("slot"), F.col(order[0])), F.lit(chunks)).cast("int"))
-    counts = parts.groupBy(F.col(shard).alias("_shard"), F.col("_chunk").alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(shard, "_chunk").orderBy(*order)
-    ranked = parts.withColumn("_rank", F.row_number().over(inside))
-    # the offsets have shards x chunks rows at most, whatever the input: about 20 bytes for each
-    joined = ranked.join(F.broadcast(offsets), (F.col(shard) == F.col("_shard")) & (F.col("_chunk") == F.col("_part")), "left")
-    return joined.withColumn("slot", F.col("_before") + F.col("_rank") - 1).drop("_chunk", "_shard", "_part", "_rank", "_before")
+    chunk, at, n, rank, before = (fresh(df, x, shard) for x in ("chunk", "at", "n", "rank", "before"))
+    chunks = chunks or 2 * shuffle_partitions(df.sparkSession)
+    salt = F.xxhash64(F.lit("slot"), *(F.col(c) for c in order), F.col(at))
+    placed = df.withColumn(at, F.monotonically_increasing_id()).withColumn(chunk, F.pmod(salt, F.lit(chunks)).cast("int"))
+    parts = written(placed, "slots")
+    counts = parts.groupBy(shard, chunk).agg(F.count(F.lit(1)).alias(n))
+    ahead = Window.partitionBy(shard).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(shard, chunk, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(before))
+    inside = Window.partitionBy(shard, chunk).orderBy(*order, at)
+    joined = parts.withColumn(rank, F.row_number().over(inside)).join(offsets, [shard, chunk], "left")
+    kept = [c for c in df.columns if c.lower() != "slot"]
+    return joined.select(*kept, (F.col(before) + F.col(rank) - 1).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
