@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._common import new_path, written
+from leafmill.llm._common import new_path, shuffle_partitions, written
 
 #: Bytes of a compressed archive after which a task begins another, bytes read at once, and records of a result batch.
 ARCHIVE_BYTES, STEP_BYTES, BATCH_RECORDS = 256 << 20, 1 << 16, 512
@@ -176,7 +176,7 @@ def write(pages: DataFrame, revisit_from: int = 0, date: str = "1970-01-01T00:00
 
 
 def read(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Reads the archives of a manifest back, each by one task from its start to its end.
+    """Reads the archives of a manifest back, each by one task from its start to its end, in as many tasks as archives up to four for each shuffle partition.
 
     A revisit has no payload of its own; its length and digest are those of the payload it refers to. Archives that
     aren't whole, or whose lengths or digests don't hold, end the task with an error that names the record.
@@ -202,4 +202,7 @@ def read(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                             rows, held = [], 0
         yield batch_of(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(records, RECORDS)
+    paths = manifest.select("path")
+    # a number that is stated isn't lowered by adaptive execution, however small the list of paths is
+    tasks = max(1, min(paths.count(), 4 * shuffle_partitions(paths.sparkSession)))
+    return paths.repartitionByRange(tasks, "path").mapInArrow(records, RECORDS)
