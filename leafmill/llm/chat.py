@@ -1,11 +1,13 @@
 """Chat formatting into budgeted windows, with DataFrame functions only.
 
-A conversation is cut into windows of whole turns. Prefix sums of the turns' token counts choose the spans: a turn
-of more than ``budget - stride`` tokens stands alone, and between such turns a turn belongs to the window in whose
-stride it starts. A window of several turns thus has at most ``budget`` new tokens, and no turn is ever cut. Every window but the
-first repeats the leading system turn and up to ``history`` of the turns before it, as far as they have at most
-``history_tokens`` tokens together. Assistant turns are targets once: the loss mask covers them where they are new
-and leaves them out where they are repeated.
+A conversation is cut into windows of whole turns. The budget holds for all of a window: the leading system turn, which
+every later window repeats, and ``history_tokens`` are taken from it first, and what is left is the room of new turns.
+Prefix sums of the turns' token counts choose the spans: a turn of more than half the room stands alone, and
+between such turns a turn belongs to the window in whose half room it starts. So new turns never exceed the room,
+and no turn is ever cut: only a turn that is over the budget alone, or together with the system turn, gives a window over it.
+Every window but the first repeats the system turn and up to ``history`` of the turns before it, as far as
+they have at most ``history_tokens`` tokens together and the budget has room for them. Assistant turns are targets
+once: the loss mask covers them where they are new and leaves them out where they are repeated.
 
 The template marks turns as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts, ``&`` becomes ``&amp;``
 and ``<|`` becomes ``&lt;|`` (and a line feed in a role ``&#10;``), so no text holds a marker, and unescaping gives
@@ -52,15 +54,15 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.char_length(text) / 4).cast("long")
 
 
-def format_windows(turns: DataFrame, budget: int = 1024, stride: int = 512, history: int = 2, history_tokens: int = 256, tokens: Column | None = None) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = 1024, history: int = 2, history_tokens: int = 256, tokens: Column | None = None) -> DataFrame:
     """One row for each window: conv_id, window, formatted, repeated (turns), tokens, loss_spans.
 
     ``turns`` has conv_id, turn, role and text; ``tokens`` is an expression over role and text for the tokens of a
     turn. ``loss_spans`` are (start, length) in code points of ``formatted``, from 0. One exchange by conv_id serves all
     windows and both aggregations.
     """
-    if not 0 < stride < budget:
-        raise ValueError("0 < stride < budget")
+    if not 0 <= history_tokens < budget:
+        raise ValueError("0 <= history_tokens < budget")
     whole = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     until = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = whole.rowsBetween(Window.unboundedPreceding, -1)
@@ -69,8 +71,13 @@ def format_windows(turns: DataFrame, budget: int = 1024, stride: int = 512, hist
     rows = rows.withColumn("n", (estimated_tokens(F.col("text")) if tokens is None else tokens) + TURN_TOKENS)
     rows = rows.withColumn("shown", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(f"{END}\n")))
 
+    # what the system turn leaves; of a room of r, a window's new turns start within r / 2 and have at most r / 2 each
+    leads = F.first(F.when(F.col("role") == "system", F.col("n")).otherwise(F.lit(0))).over(whole)
+    rows = rows.withColumn("base", leads.cast("long")).withColumn("room", F.greatest(F.lit(budget - history_tokens) - F.col("base"), F.lit(2)))
+    stride = F.floor(F.col("room") / 2)
+
     # runs: a large turn stands alone, so a run starts at it and after it
-    large = F.col("n") > budget - stride
+    large = F.col("n") > F.col("room") - stride
     rows = rows.withColumn("i", F.row_number().over(whole)).withColumn("breaks", (large | F.coalesce(F.lag(large).over(whole), F.lit(False))).cast("int"))
     rows = rows.withColumn("run", F.sum("breaks").over(until)).withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     in_run = Window.partitionBy("conv_id", "run").orderBy("i")
@@ -86,13 +93,14 @@ def format_windows(turns: DataFrame, budget: int = 1024, stride: int = 512, hist
     grouped = rows.groupBy("conv_id", "window").agg(
         F.array_sort(F.collect_list(F.struct("i", "n", "shown", "role", F.char_length("shown").alias("chars"), F.char_length(escape_role(F.col("role"))).alias("role_chars")))).alias("new"),
         F.max("system").alias("system"),
+        F.least(F.lit(history_tokens), F.lit(budget) - F.max("base") - F.sum("n")).alias("spare"),
         F.first("back", ignorenulls=True).alias("back"),
     )
     system = F.when((F.col("window") > 0) & F.col("system").isNotNull(), F.array("system")).otherwise(F.array().cast("array<struct<i:int,n:bigint,shown:string>>"))
     # the nearest turns whose tokens together fit: each of the few is held against the sum up to it
     after = lambda k: reduce(lambda a, b: a + b, (F.coalesce(F.get("back", F.lit(j)).n, F.lit(0)) for j in range(k + 1)))
     nth = lambda k: F.get("back", F.lit(k))
-    fits = F.array(*(F.when(nth(k).isNotNull() & (after(k) <= history_tokens) & ~nth(k).i.eqNullSafe(F.get("system", F.lit(0)).i), nth(k)) for k in range(history)))
+    fits = F.array(*(F.when(nth(k).isNotNull() & (after(k) <= F.col("spare")) & ~nth(k).i.eqNullSafe(F.get("system", F.lit(0)).i), nth(k)) for k in range(history)))
     repeated = F.concat("system", F.reverse(F.array_compact(fits))) if history else F.col("system")
     shaped = grouped.withColumn("system", system).withColumn("old", repeated)
     old_text, new_text = F.array_join(F.transform("old", lambda t: t.shown), ""), F.array_join(F.transform("new", lambda t: t.shown), "")

@@ -93,14 +93,17 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT -1, t, u, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(t, u)),
         a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS n,
             24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS chars FROM r),
-        b AS (SELECT *, CASE WHEN n > 512 OR coalesce(lag(n) OVER w > 512, false) THEN 1 ELSE 0 END AS breaks,
-            coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+        g AS (SELECT *, first_value(role = 'system') OVER w AS has, first_value(chars) OVER w AS sys, first_value(CASE WHEN role = 'system' THEN n ELSE 0 END) OVER w AS base FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+        h AS (SELECT *, greatest(1024 - 256 - base, 2) // 2 AS stride, greatest(1024 - 256 - base, 2) - greatest(1024 - 256 - base, 2) // 2 AS half FROM g),
+        b AS (SELECT *, CASE WHEN n > half OR coalesce(lag(n) OVER w > half, false) THEN 1 ELSE 0 END AS breaks,
+            coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
         c AS (SELECT *, sum(breaks) OVER (PARTITION BY conv_id ORDER BY i) AS run FROM b),
-        d AS (SELECT *, floor((before - first_value(before) OVER (PARTITION BY conv_id, run ORDER BY i)) / 512) AS step FROM c),
-        e AS (SELECT *, coalesce(lag(run) OVER w <> run OR lag(step) OVER w <> step, true) AS opens, lag(n, 1) OVER w AS n1, lag(n, 2) OVER w AS n2, lag(chars, 1) OVER w AS c1, lag(chars, 2) OVER w AS c2,
-            first_value(role = 'system') OVER w AS has, first_value(chars) OVER w AS sys FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
-        f AS (SELECT *, CASE WHEN opens AND i > 1 THEN (CASE WHEN has THEN sys ELSE 0 END) + (CASE WHEN n1 <= 256 AND NOT (has AND i = 2) THEN c1 ELSE 0 END)
-            + (CASE WHEN n1 + n2 <= 256 AND NOT (has AND i = 3) THEN c2 ELSE 0 END) ELSE 0 END AS again FROM e)
+        d AS (SELECT *, floor((before - first_value(before) OVER (PARTITION BY conv_id, run ORDER BY i)) / stride) AS step FROM c),
+        e AS (SELECT *, coalesce(lag(run) OVER w <> run OR lag(step) OVER w <> step, true) AS opens, lag(n, 1) OVER w AS n1, lag(n, 2) OVER w AS n2, lag(chars, 1) OVER w AS c1, lag(chars, 2) OVER w AS c2 FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+        k AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS win FROM e),
+        m AS (SELECT *, least(256, 1024 - base - sum(n) OVER (PARTITION BY conv_id, win)) AS spare FROM k),
+        f AS (SELECT *, CASE WHEN opens AND i > 1 THEN (CASE WHEN has THEN sys ELSE 0 END) + (CASE WHEN n1 <= spare AND NOT (has AND i = 2) THEN c1 ELSE 0 END)
+            + (CASE WHEN n1 + n2 <= spare AND NOT (has AND i = 3) THEN c2 ELSE 0 END) ELSE 0 END AS again FROM m)
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
