@@ -7,12 +7,16 @@
    tied. Frames of sizes settle k: a pair meets in the frame of its smaller member. No linked pair is missed.
    Keys are combined in each task before the shuffle, so a key that a third of all documents have reaches the
    reducer once for each batch of rows; there sorted runs become stars, not pairs.
-3. Ties make clusters, inside which all links lie. A cluster's classes are sent once, with their sets, to a task that
-   builds a signature tree: leaves of a few sets and inner nodes hold OR-combined bitmaps, ranges of sizes, and the most
-   shingles that a bitmap hides. A dual traversal follows only node pairs whose largest possible overlap reaches the least
-   that a link needs. What is left is verified against the sets, unless both are connected already.
-4. A cluster of over ``BLOCK`` classes is cut by size range and hash, and every pair of parts whose sizes allow a link is a
-   task of its own, of at most two parts.
+3. Ties make clusters, inside which all links lie. A task builds a signature tree over the sets it is sent: leaves of
+   a few sets and inner nodes hold OR-combined bitmaps, ranges of sizes, and the most shingles that a bitmap hides. A dual
+   traversal follows only node pairs whose largest possible overlap reaches the least that a link needs. What is left
+   is verified against the sets, unless both are connected already.
+4. A cluster of up to ``BLOCK`` classes is one task. A larger one is never sent whole: first its classes meet those with the
+   same least hash, in parts, then a few of each part's components meet again by other sketches, which joins most near copies.
+   What is exact comes last: for every key whose classes aren't all connected yet, these meet by that key; keys with
+   the same classes count once. If they are over ``BLOCK``, they are cut by size range and hash, and two parts meet where
+   sizes allow a link and not both lie in the key's greatest component. So a set is sent as often as it has such
+   keys, not as often as its cluster has parts.
 5. Links (a spanning forest from each task) and classes give the components.
 
 Defined cases: a null, empty or all-blank text has no shingles and is linked with nothing; with fewer words than n, the
@@ -34,12 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm._common import written
-from leafmill.llm._labels import TokenIds
+from leafmill.llm._tokens import TokenIds, claim
 from leafmill.llm.components import components
 
 #: Classes of a cluster part, sets of a leaf, children of a node, and bits of a bitmap for each shingle of the largest set.
 BLOCK, LEAF, FAN, BITS_EACH, MOST_BITS = 512, 8, 4, 8, 1 << 16
 
+#: Sketches of a set, and classes of a component that meet others by each sketch but the first, about.
+SKETCHES, SAMPLE = 4, 64
+
 #: Keys that a task combines at once, and pairs of sets whose bitmaps are held against each other at once.
 TOGETHER, PAIRS = 1 << 20, 1 << 18
 
@@ -113,6 +120,12 @@ class Threshold:
         return f
 
 
+def sketches(items: np.ndarray) -> np.ndarray:
+    """Hashes of a set that sets like it are likely to share: the least and the greatest, in two orders."""
+    mixed = _mix(items ^ _A)
+    return np.array([items[0], mixed.min(), items[-1], mixed.max()], np.uint64).view(np.int64)
+
+
 def keys(items: np.ndarray, t: Threshold) -> np.ndarray:
     """The keys of a set: one for each segment of each frame, from the sum of the hashes in it."""
     out = []
@@ -131,23 +144,26 @@ def keys(items: np.ndarray, t: Threshold) -> np.ndarray:
 
 
 def profile(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """doc_id, n_shingles, digest (null without shingles), keys of every document."""
+    """doc_id, n_shingles, digest and sketches (null without shingles), keys of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sizes, digests, offsets, found = [], [], [0], []
+                sizes, digests, offsets, found, drawn = [], [], [0], [], []
                 for text in part.column("text"):
                     items = shingles(text.as_py(), n)
                     sizes.append(len(items))
                     digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
+                    drawn.append(sketches(items) if len(items) else None)
                     found.append(keys(items, t))
                     offsets.append(offsets[-1] + len(found[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "keys"])
+                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(drawn, pa.list_(pa.int64())), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sketches", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketches array<long>, keys array<long>")
 
 
 def _runs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,8 +298,11 @@ def dual_traversal(one: Tree, other: Tree, t: Threshold) -> Iterator[tuple[np.nd
 
 
 class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    """Sets that are connected; those of one root are from the start."""
+
+    def __init__(self, n: int, roots: list[int] | None = None):
+        first: dict[int, int] = {}
+        self.up = list(range(n)) if roots is None else [first.setdefault(r, i) for i, r in enumerate(roots)]
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -291,14 +310,17 @@ class Forest:
         return i
 
 
-def links(one: list[np.ndarray], other: list[np.ndarray] | None, t: Threshold) -> list[tuple[int, int]]:
-    """A spanning forest of the links within ``one``, or between ``one`` and ``other``: positions, those of ``other`` after those of ``one``."""
+def links(one: list[np.ndarray], other: list[np.ndarray] | None, t: Threshold, roots: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links within ``one``, or between ``one`` and ``other``: positions, those of ``other`` after those of ``one``.
+
+    Sets of one root are known to be connected.
+    """
     largest = max(len(s) for s in (*one, *(other or ())))
     bits = min(MOST_BITS, max(512, 1 << (BITS_EACH * largest - 1).bit_length()))
     left = Tree(one, bits)
     right = left if other is None else Tree(other, bits)
     shift = 0 if other is None else len(one)
-    forest, out = Forest(len(one) + (len(other) if other else 0)), []
+    forest, out = Forest(len(one) + (len(other) if other else 0), roots), []
     for i, j in dual_traversal(left, right, t):
         for a, b in zip(i.tolist(), j.tolist()):
             p, q = left.order[a], right.order[b] + shift
@@ -313,75 +335,121 @@ def links(one: list[np.ndarray], other: list[np.ndarray] | None, t: Threshold) -
     return out
 
 
-def _parts(candidates: DataFrame, t: Threshold) -> DataFrame:
-    """node, cluster, task, side: the tasks that each class of a cluster goes to.
+def _met(rows: DataFrame, *group: str) -> DataFrame:
+    """Adds ``task``: rows of a group meet, in parts of about ``BLOCK`` by hash; groups that are connected already go."""
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    part = F.pmod(F.xxhash64("node", F.lit("part")), F.ceil(F.col("n") / BLOCK))
+    return rows.join(sizes, list(group)).withColumn("task", F.xxhash64(*group, part)).drop("n", "low", "high")
 
-    A small cluster is one task. A large one is cut into parts by size range and hash; a class goes to the task of its own part, and to one for every
-    other part of its range or a neighbouring one, beyond which sizes allow no link.
-    """
-    sizes = candidates.groupBy("cluster").agg(F.count(F.lit(1)).alias("classes"))
-    large = written(sizes.where(F.col("classes") > BLOCK).drop("classes"), "large")
-    small = written(sizes.where((F.col("classes") > 1) & (F.col("classes") <= BLOCK)).drop("classes"), "small")
-    whole = candidates.join(small, "cluster").select("node", "cluster", F.xxhash64("cluster").alias("task"), F.lit(0).alias("side"), F.lit(True).alias("own"))
 
-    step = 1.0001 * float(np.log(t.den / t.num)) or 1.0
-    ranged = candidates.join(large, "cluster").withColumn("range", F.floor(F.log(F.col("n_shingles")) / F.lit(step)).cast("int"))
-    counts = ranged.groupBy("cluster", "range").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    # a row for each range of a large cluster: at least 512 classes stand behind a cluster
-    near = counts.alias("a").join(counts.alias("b"), F.col("a.cluster") == F.col("b.cluster")).where(F.abs(F.col("a.range") - F.col("b.range")) <= 1)
-    near = near.groupBy(F.col("a.cluster").alias("c"), F.col("a.range").alias("r")).agg(F.first("a.parts").alias("own_parts"), F.collect_list(F.struct(F.col("b.range").alias("range"), F.col("b.parts").alias("parts"))).alias("near"))
-    dealt = ranged.join(near, (F.col("cluster") == F.col("c")) & (F.col("range") == F.col("r"))).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("own_parts")).cast("int"))
-    mine = F.struct(F.col("range").alias("range"), F.col("part").alias("part"))
-    theirs = F.explode(F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0), x.parts - 1), lambda p: F.struct(x.range.alias("range"), p.alias("part"))))))
-    pairs = dealt.withColumn("mine", mine).withColumn("theirs", theirs)
-    task = F.xxhash64("cluster", F.least("mine", "theirs"), F.greatest("mine", "theirs"))
-    cut = pairs.select("node", "cluster", task.alias("task"), F.when(F.col("mine") <= F.col("theirs"), 0).otherwise(1).alias("side"), (F.col("mine") == F.col("theirs")).alias("own"))
-    return whole.unionByName(cut)
-
-
-def verified(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """a, b: a spanning forest of each cluster's links. ``candidates``: node, doc (an id with that set), cluster, digest, n_shingles of every class in one."""
-    tasks = _parts(candidates, t).groupBy("node").agg(F.collect_list(F.struct("task", "side", "own")).alias("tasks"))
-    wanted = written(candidates.join(tasks, "node").select("node", "doc", "digest", "tasks"), "wanted")
+def _sets(docs: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
+    """node, cluster, large, task, items of every class of a cluster, written: its set, and the task where it meets others first."""
+    sizes = candidates.groupBy("cluster").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    known = candidates.join(sizes, "cluster").withColumn("large", F.col("classes") > BLOCK)
+    drawn = known.where("large").withColumn("root", F.col("node")).withColumn("sketch", F.col("sketches")[0])
+    first = known.where("NOT large").withColumn("task", F.xxhash64("cluster"))
+    columns = ["node", "doc", "digest", "cluster", "large", "task"]
+    # a class whose sketch is its own alone meets no one yet, but its set is wanted all the same
+    lone = drawn.select("node", "doc", "digest", "cluster", "large").join(_met(drawn, "cluster", "sketch").select("node", "task"), "node", "left")
+    wanted = written(first.select(*columns).unionByName(lone.select(*columns)), "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join")
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 found = [shingles(text.as_py(), n) for text in part.column("text")]
-                same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d.as_py() for s, d in zip(found, part.column("digest"))]
-                nodes, where = (part.column(c).filter(pa.array(same, pa.bool_())) for c in ("node", "tasks"))
-                yield pa.RecordBatch.from_arrays([nodes, where, pa.array([s.tobytes() for s, ok in zip(found, same) if ok], pa.binary())], names=["node", "tasks", "items"])
+                same = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d.as_py() for s, d in zip(found, part.column("digest"))], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(same) for c in names), pa.array([s.tobytes() for s in found], pa.binary()).filter(same)], names=[*names, "items"])
 
+    names = ["node", "cluster", "large", "task"]
     # what is wanted grows with the input: joined by shuffle at every size, never broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc").select("node", "digest", "tasks", "text")
-    sets = texts.mapInArrow(read, "node long, tasks array<struct<task: bigint, side: int, own: boolean>>, items binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc").select(*names, "digest", "text")
+    return written(texts.mapInArrow(read, "node long, cluster long, large boolean, task long, items binary"), "sets")
+
+
+def _linked(rows: DataFrame, t: Threshold) -> DataFrame:
+    """a, b: a spanning forest of the links in each task. ``rows``: task, side (-1: all meet; 0 and 1: the two sides meet), node, root, items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, members = None, {}
 
         def found() -> pa.RecordBatch:
-            sides = [[m for m in members.values() if m[0] == s] for s in (0, 1)]
-            own = all(m[2] for m in members.values())
-            pairs, nodes = [], [m[1] for side in sides for m in side]
-            if own and len(sides[0]) > 1:
-                pairs = links([m[3] for m in sides[0]], None, t)
-            elif not own and sides[0] and sides[1]:
-                pairs = links([m[3] for m in sides[0]], [m[3] for m in sides[1]], t)
-            return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            sides = [[m for m in members.values() if m[0] == s] for s in (-1, 0, 1)]
+            pairs, all_ = [], [m for side in sides for m in side]
+            if len(sides[0]) > 1:
+                pairs = links([m[3] for m in sides[0]], None, t, [m[2] for m in sides[0]])
+            elif sides[1] and sides[2]:
+                pairs = links([m[3] for m in sides[1]], [m[3] for m in sides[2]], t, [m[2] for m in all_])
+            return pa.RecordBatch.from_arrays([pa.array([all_[p[k]][1] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for key, side, own, node, items in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "own", "node")), batch.column("items")):
+            for key, side, node, root, items in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "node", "root")), batch.column("items")):
                 if key != task:
-                    if members:
+                    if len(members) > 1:
                         yield found()
                     task, members = key, {}
-                members[side, node] = (side, node, own, np.frombuffer(items.as_py(), np.uint64))
-        if members:
+                members[side, node] = (side, node, root, np.frombuffer(items.as_py(), np.uint64))
+        if len(members) > 1:
             yield found()
 
-    sent = sets.select("node", "items", F.explode("tasks").alias("t")).select("t.task", "t.side", "t.own", "node", "items")
-    return sent.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return rows.select("task", "side", "node", "root", "items").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+
+
+def _by_keys(profiles: DataFrame, open_: DataFrame, t: Threshold) -> DataFrame:
+    """node, root, task, side: the tasks where classes of clusters that aren't connected yet meet by a shared key."""
+    own = open_.select(F.col("doc").alias("doc_id"), "digest", "node", "root", "n_shingles")
+    keyed = written(profiles.select("doc_id", "digest", "keys").join(own, ["doc_id", "digest"]).select("node", "root", "n_shingles", F.explode("keys").alias("key")).distinct(), "keyed")
+    # of a key: its classes, whether they are connected, and a digest of which they are
+    groups = keyed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit("sum")).cast("decimal(38,0)")).alias("s"))
+    groups = groups.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most"), F.bit_xor("x").alias("x"), F.sum("s").alias("s")).where("roots > 1")
+    once = groups.groupBy("n", "x", "s").agg(F.min(F.struct("key", F.col("most.root").alias("most"))).alias("k")).select("k.key", "k.most", "n")
+    once = written(once, "mixed")
+    small = keyed.join(once.where(F.col("n") <= BLOCK), "key").select("node", "root", F.xxhash64("key").alias("task"), F.lit(-1).alias("side"))
+    if once.where(F.col("n") > BLOCK).isEmpty():
+        return small
+
+    step = 1.0001 * float(np.log(t.den / t.num)) or 1.0
+    ranged = keyed.join(once.where(F.col("n") > BLOCK), "key").withColumn("range", F.floor(F.log(F.col("n_shingles")) / F.lit(step)).cast("int")).withColumn("great", F.col("root") == F.col("most"))
+    counts = written(ranged.groupBy("key", "great", "range").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "ranges")
+    # a row for each range of such a key: over BLOCK classes stand behind it
+    one, other = counts.alias("a"), counts.alias("b")
+    near = one.join(other, F.col("a.key") == F.col("b.key")).where((F.abs(F.col("a.range") - F.col("b.range")) <= 1) & ~(F.col("a.great") & F.col("b.great")))
+    near = near.groupBy("a.key", "a.great", "a.range").agg(F.first("a.parts").alias("own"), F.collect_list(F.struct("b.great", "b.range", "b.parts")).alias("near"))
+    dealt = ranged.join(near, ["key", "great", "range"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("own")).cast("int"))
+    mine = F.struct("great", "range", "part")
+    theirs = F.explode(F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0), x.parts - 1), lambda p: F.struct(x.great.alias("great"), x["range"].alias("range"), p.alias("part"))))))
+    pairs = dealt.withColumn("mine", mine).withColumn("theirs", theirs)
+    task = F.xxhash64("key", F.least("mine", "theirs"), F.greatest("mine", "theirs"))
+    side = F.when(F.col("mine") == F.col("theirs"), -1).when(F.col("mine") < F.col("theirs"), 0).otherwise(1)
+    return small.unionByName(pairs.select("node", "root", task.alias("task"), side.alias("side")))
+
+
+def verified(docs: DataFrame, profiles: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:
+    """a, b: links that connect whatever is linked. ``candidates``: node, doc (an id with that set), cluster, digest, n_shingles, sketches of every class in one."""
+    sets = _sets(docs, candidates, n)
+    first = written(_linked(sets.where("task IS NOT NULL").select("task", F.lit(-1).alias("side"), "node", F.col("node").alias("root"), "items", "large"), t), "links")
+    large = written(candidates.join(sets.where("large").select("node"), "node"), "large")
+    if large.isEmpty():
+        return first
+    found = written(first.join(large.select(F.col("node").alias("a")), "a", "left_semi"), "links")
+    every = first
+    for i in range(1, SKETCHES + 1):
+        joined = components(found)
+        rooted = written(large.join(joined, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"), "roots")
+        mixed = rooted.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cluster")
+        open_ = written(rooted.join(mixed, "cluster"), "open")
+        if open_.isEmpty():
+            break
+        if i < SKETCHES:
+            of = open_.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SAMPLE).alias("share"))
+            some = open_.join(of, "root").where(F.pmod(F.xxhash64("node", F.lit(i)), F.col("share")) == 0)
+            tasks = _met(some.select("node", "root", "cluster", F.col("sketches")[i].alias("sketch")), "cluster", "sketch").select("node", "root", "task", F.lit(-1).alias("side"))
+        else:
+            tasks = _by_keys(profiles, open_, t)
+        more = written(_linked(sets.select("node", "items").join(tasks, "node"), t), "links")
+        found, every = found.unionByName(more), every.unionByName(more)
+    return every
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -389,15 +457,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     t = Threshold(num, den)
     profiles = written(profile(docs, n, t), "profiles")
     narrow = profiles.select("doc_id", "n_shingles", "digest")
-    known = narrow.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"))
+    known = profiles.where("doc_id IS NOT NULL AND digest IS NOT NULL").select("doc_id", "n_shingles", "digest", "sketches")
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches"))
     classes = written(classes.withColumn("node", F.xxhash64("digest")), "classes")
     clusters = components(ties(profiles)).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
-    candidates = written(classes.join(clusters, "doc").select("node", "doc", "cluster", "digest", "n_shingles"), "candidates")
-    found = verified(docs, candidates, n, t)
+    candidates = written(classes.join(clusters, "doc").select("node", "doc", "cluster", "digest", "n_shingles", "sketches"), "candidates")
+    found = verified(docs, profiles, candidates, n, t)
     # rows of one id are one document, so the classes of its texts are tied as well
     many = written(known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id", F.xxhash64("a").alias("a")), "many")
-    repeated = known.join(many, "doc_id").select("a", F.xxhash64("digest").alias("b"))
+    repeated = known.select("doc_id", "digest").join(many, "doc_id").select("a", F.xxhash64("digest").alias("b"))
     labels = components(found.unionByName(repeated))
     labelled = classes.join(labels, "node", "left").select("digest", "doc", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("doc").alias("least"))
