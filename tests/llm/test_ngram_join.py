@@ -155,3 +155,25 @@ def test_components_of_paths_stars_and_loops(spark):
     got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
     assert len(got) == len(up) and {r.node: r.component for r in got} == up
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_clusters_against_brute_force(spark, monkeypatch):
+    """Near copies in a chain and a common passage make clusters of many parts, components of many tasks, and keys over a block."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "SAMPLE", 2)
+    pick = random.Random(5)
+    words, rows = [f"v{i}" for i in range(5000)], []
+    passage = pick.choices(words, k=60)
+    text = pick.choices(words, k=90)
+    for _ in range(60):  # each is linked with its neighbours only
+        text = text[3:] + pick.choices(words, k=3)
+        rows.append(" ".join(text))
+    for _ in range(50):
+        rows.append(" ".join(passage + pick.choices(words, k=14 + pick.randrange(3))))
+    base = pick.choices(words, k=100)
+    rows += [" ".join(edited(base, 0.02, pick)) for _ in range(120)]
+    pick.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df, 4, 85, 100).collect()}
+    assert got == brute(rows, 4, 85, 100)

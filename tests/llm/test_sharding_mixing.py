@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.llm import mixing, sharding
 
@@ -39,12 +40,36 @@ def test_shards_laws(spark):
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_targets_share_what_is_over():
-    sizes, weights = np.array([10.0, 1000, 0, 500]), np.array([5.0, 2, 1, 5])
-    got = mixing.targets(sizes, weights, 3.0)
-    assert got[0] == 30 and got[2] == 0 and got.sum() == pytest.approx(1510)
-    assert (got <= 3 * sizes + 1e-9).all() and got[3] / 5 == pytest.approx(got[1] / 2)
-    assert mixing.targets(np.zeros(2), np.ones(2), 3.0).tolist() == [0, 0]
+def plain_targets(sizes, weights, cap):
+    """Shares by weight, the excess over the cap dealt anew until none is over."""
+    left, open_, out = float(sum(sizes)), {i for i, s in enumerate(sizes) if s}, [0.0] * len(sizes)
+    while open_:
+        whole = sum(weights[i] for i in open_)
+        over = {i for i in open_ if left * weights[i] / whole > cap * sizes[i]}
+        if not over:
+            for i in open_:
+                out[i] = left * weights[i] / whole
+            break
+        for i in over:
+            out[i] = cap * sizes[i]
+            left -= out[i]
+        open_ -= over
+    return out
+
+
+@pytest.mark.parametrize("cap", [1, 2, 3])
+def test_targets_share_what_is_over(spark, cap):
+    random = np.random.Generator(np.random.PCG64(cap))
+    for sizes in ([10, 1000, 0, 500], [0, 0], [], random.integers(0, 900, 40).tolist(), [int(1.5**k) for k in range(30)]):
+        names = [f"s{k:02d}" for k in range(len(sizes))]
+        rows = [(n if k else None, size, 1) for k, (n, size) in enumerate(zip(names, sizes))]
+        histogram = spark.createDataFrame(rows, "source string, size long, n long").repartition(3)
+        got = {r.source: r for r in mixing.with_targets(mixing.ranked_sources(histogram, mixing.WEIGHTS), cap).collect()}
+        order = [*names[1:], None][: len(sizes)]
+        in_order = [*sizes[1:], *sizes[:1]]
+        want = plain_targets(in_order, [mixing.WEIGHTS[k % 3] for k in range(len(sizes))], cap)
+        assert [got[n].k for n in order] == list(range(len(sizes)))
+        assert [got[n].target for n in order] == pytest.approx(want)
 
 
 def plain_lambda(sizes, target, cap):
@@ -103,6 +128,37 @@ def test_mixed_documents_and_empty(spark):
 
 def test_rounding_follows_rates():
     rate, size = np.array([0.5] * 10 + [2.3] * 7), np.array([9] * 10 + [4] * 7)
-    copies = mixing.round_copies(rate, size)
+    copies, owed = mixing.round_copies(rate, size)
+    assert owed == pytest.approx((rate * size).sum() - (copies * size).sum())
+    first, carried = mixing.round_copies(rate[:5], size[:5])
+    assert np.r_[first, mixing.round_copies(rate[5:], size[5:], carried)[0]].tolist() == copies.tolist()
     assert set(copies[:10]) <= {0, 1} and set(copies[10:]) <= {2, 3}
     assert abs((copies * size).sum() - (rate * size).sum()) <= 4
+
+
+BIG = [9007199254740993, None, 5, 9007199254740995]
+
+
+def test_ids_stay_whole_beside_nulls(spark):
+    """No id turns into a floating-point number because another one is null."""
+    rows = [(i, f"w{n} x y", "en", "s", 3, 1, 2, 3) for n, i in enumerate(BIG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, key int, of int, copy int").coalesce(1)
+    assert {r.doc_id for r in mixing.mix(df).collect()} == set(BIG)
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns and {r.doc_id for r in mixed.collect()} <= set(BIG)
+    assert sum(r.copies for r in mixing.mix(df).collect()) == mixed.count() > 0
+    assert {r.doc_id for r in sharding.shard_documents(df).collect()} == set(BIG)
+
+
+def test_repeated_ids_share_their_copies_in_one_order(spark):
+    rows = [(1, f"a b c {n}", "s" if n % 2 else None, n) for n in range(9)] + [(2, "a b " * 30, "t", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, nth int")
+    first = Counter(map(tuple, mixing.mixed_documents(df.repartition(2)).collect()))
+    assert first == Counter(map(tuple, mixing.mixed_documents(df.repartition(5, "nth")).collect()))
+
+
+def test_slots_of_hot_rows_are_split(spark):
+    rows = spark.range(4000).select(F.lit(7).cast("long").alias("chunk"), F.lit(0).alias("shard"), F.lit("x").alias("rank"))
+    got = sharding.number_slots(rows, ["chunk"], chunks=8)
+    assert got.columns == ["chunk", "shard", "rank", "slot"]
+    assert sorted(r.slot for r in got.collect()) == list(range(4000))
