@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import bpe, mixing, ngram_join, quality, toxicity
-from leafmill.llm._common import written
+from leafmill.llm._common import fresh, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -32,24 +32,27 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least the operator's threshold."""
-    scored = quality.score(docs, quality.fit(docs, _labels(spark, sf_dir)), out="_score")
-    return scored.where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    out = fresh(docs, "score")
+    scored = quality.score(docs, quality.fit(docs, _labels(spark, sf_dir)), out=out)
+    return scored.where(F.col(out) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the operator's threshold."""
-    scored = toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)), out="_score")
-    return scored.where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    out = fresh(docs, "score")
+    scored = toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)), out=out)
+    return scored.where(F.col(out) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group."""
+    other, nth = fresh(docs, "gone"), fresh(docs, "nth")
     groups = ngram_join.jaccard_components(docs, WORDS, NUM, DEN)
-    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct(), "gone")
     # the list grows with the input, so it is joined by shuffle at every size; the window needs no other
-    known = docs.where("doc_id IS NOT NULL").join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    known = docs.where("doc_id IS NOT NULL").join(gone.hint("merge"), F.col("doc_id") == F.col(other), "left_anti")
     order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
-    first = known.withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    first = known.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
     return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
