@@ -5,6 +5,10 @@
    So the hash space is cut into k + t segments, and at least t segments of a linked pair are equal. A set has a key for
    each segment that isn't empty (and, if t or more of its own are empty, for these too), and sets that share a key are
    tied. Frames of sizes settle k: a pair meets in the frame of its smaller member. No linked pair is missed.
+   In fact a linked pair shares more keys of a frame than one: t, less the empty segments that have no key. So a
+   set may leave out as many but one, if all sets leave out those that come first in one order of all keys: the rarest
+   key that the pair shares is left out by neither. That order is the key's frequency; the ``MOST_HOT`` keys most often
+   met (a list of a fixed size, which is broadcast) come first. So a passage that many documents share ties none of them.
    Keys are combined in each task before the shuffle, so a key that a third of all documents have reaches the
    reducer once for each batch of rows; there sorted runs become stars, not pairs.
 3. Ties make clusters, inside which all links lie. A task builds a signature tree over the sets it is sent: leaves of
@@ -46,6 +50,11 @@ BLOCK, LEAF, FAN, BITS_EACH, MOST_BITS = 512, 8, 4, 8, 1 << 16
 
 #: Sketches of a set, and classes of a component that meet others by each sketch but the first, about.
 SKETCHES, SAMPLE = 4, 64
+#: Sketches are given up when links found by one are fewer than one in so many classes.
+FEW = 20
+
+#: Frequent keys that sets may leave out.
+MOST_HOT = 1 << 18
 
 #: Keys that a task combines at once, and pairs of sets whose bitmaps are held against each other at once.
 TOGETHER, PAIRS = 1 << 20, 1 << 18
@@ -102,7 +111,7 @@ class Threshold:
             total = top + min(top * self.den // self.num, 1 << 40)
             differ = total * (self.den - self.num) // (self.den + self.num)
             if differ:
-                spare = 5 + differ // 32
+                spare = 12 + differ // 8
                 out.append((f, differ + spare, spare))
         return out
 
@@ -127,7 +136,7 @@ def sketches(items: np.ndarray) -> np.ndarray:
 
 
 def keys(items: np.ndarray, t: Threshold) -> np.ndarray:
-    """The keys of a set: one for each segment of each frame, from the sum of the hashes in it."""
+    """The keys of a set: one for each segment of each frame, from the sum of the hashes in it; their last byte is the frame's."""
     out = []
     mixed = _mix(items ^ _A)
     for f, segments, spare in t.frames(len(items)):
@@ -136,10 +145,11 @@ def keys(items: np.ndarray, t: Threshold) -> np.ndarray:
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         with np.errstate(over="ignore"):
             seed = np.uint64((f * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF)
-            out.append(_mix(np.add.reduceat(mixed, first) + _mix(at[first] * _A + seed)))
+            made = [_mix(np.add.reduceat(mixed, first) + _mix(at[first] * _A + seed))]
             if segments - len(first) >= spare:
                 empty = np.setdiff1d(np.arange(segments, dtype=np.uint64), at[first])
-                out.append(_mix(_mix(empty * _A + seed) ^ _C))
+                made.append(_mix(_mix(empty * _A + seed) ^ _C))
+        out += [(k & ~np.uint64(255)) | np.uint64(f & 255) for k in made]
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -166,6 +176,67 @@ def profile(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketches array<long>, keys array<long>")
 
 
+def leave_out(found: np.ndarray, size: int, often: np.ndarray, t: Threshold) -> np.ndarray:
+    """Which of a set's keys stay: of each frame it leaves out the most frequent ones (``often``; 0: not in the list), as many as are safe."""
+    stay = np.ones(len(found), bool)
+    frame = found & 255
+    for f, segments, spare in t.frames(size):
+        own = np.flatnonzero(frame == f & 255)
+        # without keys for its empty segments, a set shares at least ``spare`` less these; with them, its partner may have none
+        safe = spare - (segments - len(own)) - 1 if segments > len(own) else 0
+        if safe > 0:
+            hot = own[often[own] > 0]
+            stay[hot[np.lexsort((found[hot], -often[hot]))][:safe]] = False
+    return stay
+
+
+def frequent_keys(profiles: DataFrame) -> pa.Table:
+    """key, n of the keys that are met most often, about: a task sends those that it meets twice among many."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found[times > 1]), pa.array(times[times > 1])], names=["key", "n"])
+
+        for batch in batches:
+            held.append(batch.column("keys").flatten().to_numpy(zero_copy_only=False))
+            n += len(held[-1])
+            if n >= TOGETHER:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    met = profiles.where("size(keys) > 0").select("keys").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return met.orderBy(F.desc("n"), "key").limit(MOST_HOT).toArrow().sort_by("key")
+
+
+def with_kept_keys(profiles: DataFrame, t: Threshold) -> DataFrame:
+    """``profiles`` with the keys that each set keeps."""
+    hot = frequent_keys(profiles)
+    sent = profiles.sparkSession.sparkContext.broadcast((hot.column("key").to_numpy(), hot.column("n").to_numpy()))
+
+    @F.arrow_udf("array<bigint>")
+    def kept(lists: pa.Array, sizes: pa.Array) -> pa.Array:
+        hot, times = sent.value
+        if not len(hot):
+            return lists
+        flat, lengths = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
+        often = np.where(hot[at] == flat, times[at], 0)
+        ends = np.cumsum(lengths)
+        stay = np.ones(len(flat), bool)
+        for row in np.unique(np.searchsorted(ends, np.flatnonzero(often), side="right")):
+            own = slice(ends[row] - lengths[row], ends[row])
+            stay[own] = leave_out(flat[own], sizes[row].as_py(), often[own], t)
+        before = np.r_[0, np.cumsum(stay)]
+        return pa.ListArray.from_arrays(pa.array(before[np.r_[0, ends]], pa.int32()), pa.array(flat[stay]))
+
+    return profiles.withColumn("keys", kept("keys", "n_shingles"))
+
+
 def _runs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by key and id: keys once with their smallest id, and a (doc, smallest) pair for every other id."""
     order = np.lexsort((doc, key))
@@ -399,10 +470,13 @@ def _linked(rows: DataFrame, t: Threshold) -> DataFrame:
 def _by_keys(profiles: DataFrame, open_: DataFrame, t: Threshold) -> DataFrame:
     """node, root, task, side: the tasks where classes of clusters that aren't connected yet meet by a shared key."""
     own = open_.select(F.col("doc").alias("doc_id"), "digest", "node", "root", "n_shingles")
-    keyed = written(profiles.select("doc_id", "digest", "keys").join(own, ["doc_id", "digest"]).select("node", "root", "n_shingles", F.explode("keys").alias("key")).distinct(), "keyed")
-    # of a key: its classes, whether they are connected, and a digest of which they are
-    groups = keyed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit("sum")).cast("decimal(38,0)")).alias("s"))
-    groups = groups.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most"), F.bit_xor("x").alias("x"), F.sum("s").alias("s")).where("roots > 1")
+    all_ = profiles.select("doc_id", "digest", "keys").join(own, ["doc_id", "digest"]).select("node", "root", "n_shingles", F.explode("keys").alias("key"))
+    loose = all_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    # rows that repeat an id with its text give a class's keys again
+    keyed = written(all_.join(loose, "key").distinct(), "keyed")
+    # of a key: its classes, their greatest component, and a digest of which they are
+    groups = keyed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit("sum")) % (1 << 31)).alias("s"))
+    groups = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
     once = groups.groupBy("n", "x", "s").agg(F.min(F.struct("key", F.col("most.root").alias("most"))).alias("k")).select("k.key", "k.most", "n")
     once = written(once, "mixed")
     small = keyed.join(once.where(F.col("n") <= BLOCK), "key").select("node", "root", F.xxhash64("key").alias("task"), F.lit(-1).alias("side"))
@@ -433,29 +507,33 @@ def verified(docs: DataFrame, profiles: DataFrame, candidates: DataFrame, n: int
     if large.isEmpty():
         return first
     found = written(first.join(large.select(F.col("node").alias("a")), "a", "left_semi"), "links")
-    every = first
-    for i in range(1, SKETCHES + 1):
+    every, sketch = first, 1
+    while True:
         joined = components(found)
         rooted = written(large.join(joined, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"), "roots")
         mixed = rooted.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cluster")
         open_ = written(rooted.join(mixed, "cluster"), "open")
         if open_.isEmpty():
-            break
-        if i < SKETCHES:
-            of = open_.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SAMPLE).alias("share"))
-            some = open_.join(of, "root").where(F.pmod(F.xxhash64("node", F.lit(i)), F.col("share")) == 0)
-            tasks = _met(some.select("node", "root", "cluster", F.col("sketches")[i].alias("sketch")), "cluster", "sketch").select("node", "root", "task", F.lit(-1).alias("side"))
-        else:
+            return every
+        last = sketch == SKETCHES
+        if last:
             tasks = _by_keys(profiles, open_, t)
-        more = written(_linked(sets.select("node", "items").join(tasks, "node"), t), "links")
+        else:
+            of = open_.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SAMPLE).alias("share"))
+            some = open_.join(of, "root").where(F.pmod(F.xxhash64("node", F.lit(sketch)), F.col("share")) == 0)
+            tasks = _met(some.select("node", "root", "cluster", F.col("sketches")[sketch].alias("sketch")), "cluster", "sketch").select("node", "root", "task", F.lit(-1).alias("side"))
+        more = written(_linked(sets.where("large").select("node", "items").join(tasks, "node"), t), "links")
         found, every = found.unionByName(more), every.unionByName(more)
-    return every
+        if last:
+            return every
+        # sketches only save work; when few meet by one, the exact way is next
+        sketch = sketch + 1 if more.count() * FEW > open_.count() else SKETCHES
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) of every row."""
     t = Threshold(num, den)
-    profiles = written(profile(docs, n, t), "profiles")
+    profiles = with_kept_keys(written(profile(docs, n, t), "profiles"), t)
     narrow = profiles.select("doc_id", "n_shingles", "digest")
     known = profiles.where("doc_id IS NOT NULL AND digest IS NOT NULL").select("doc_id", "n_shingles", "digest", "sketches")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches"))
