@@ -109,7 +109,14 @@ def test_linked_sets_share_a_key(seed, size, share):
         if not t.linked(len(a), len(b), both):
             continue
         if not np.array_equal(a, b):
-            assert np.intersect1d(ngram_join.keys(a, t), ngram_join.keys(b, t)).size
+            found = [ngram_join.keys(x, t) for x in (a, b)]
+            assert np.intersect1d(*found).size
+            # also when both leave out what is frequent, whatever keys that is
+            for share in (0.3, 0.9, 1.0):
+                every = np.unique(np.concatenate(found))
+                times = np.where(random_.random(len(every)) < share, random_.integers(1, 4, len(every)), 0)
+                kept = [k[ngram_join.leave_out(k, len(x), times[np.searchsorted(every, k)], t)] for k, x in zip(found, (a, b))]
+                assert np.intersect1d(*kept).size
 
 
 @settings(max_examples=60, deadline=None)
