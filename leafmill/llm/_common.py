@@ -55,6 +55,21 @@ def fresh(df: DataFrame, name: str, *more: str) -> str:
     return name
 
 
+#: Bytes of a batch of rows between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets batches to and from Python workers be of a few megabytes, not of as many rows whatever their texts are.
+
+    It is a setting of the session, lowered where it is higher and left alone where it is lower already.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)i?b?", spark.conf.get(key).lower()).groups()
+    if int(number) << 10 * " kmgt".index(unit or " ") > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,10 +6,14 @@ here the first use by another operator empties all caches of the one before.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable
 
+import pyarrow as pa
+
 #: Bounds of a token cache: entries (each of some 150 bytes at most, with its token), and characters of a token that is kept.
-CACHED_TOKENS, CACHED_CHARS = 1 << 17, 48
+CACHED_TOKENS, CACHED_CHARS = 1 << 16, 48
 
 _owner = ""
 _kept: list[Callable[[], None]] = []
@@ -26,6 +30,9 @@ def claim(owner: str) -> None:
     if owner != _owner:
         for clear in _kept:
             clear()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":  # freed memory goes back to the system, as other workers need it
+            ctypes.CDLL(None).malloc_trim(0)
         _owner = owner
 
 

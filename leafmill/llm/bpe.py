@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._common import fresh
+from leafmill.llm._common import bounded_batches, fresh
 from leafmill.llm._tokens import CACHED_CHARS, claim, keeps
 
 #: Bounds of a worker's caches, in entries: words of a text, and pieces that the pattern cuts.
@@ -311,6 +311,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
     installed package is.
     """
 
+    bounded_batches(df.sparkSession)
+
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
         return pa.array(_encoded(codec(ranks_path, pattern), texts), pa.binary())
@@ -335,6 +337,8 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     Both come from one worker: as two functions, Spark would encode twice, or hold two workers a task.
     """
 
+    bounded_batches(df.sparkSession)
+
     @F.arrow_udf("struct<ids: binary, decoded: binary>")
     def both(texts: pa.Array) -> pa.Array:
         c = codec(ranks_path, pattern)

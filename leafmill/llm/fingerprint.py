@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._common import shuffle_partitions
+from leafmill.llm._common import bounded_batches, shuffle_partitions
 
 #: Bytes the rolling hash looks at, most and least symbols, and the least block size.
 WINDOW, MOST, LEAST, SMALLEST = 7, 64, 32, 3
@@ -183,6 +183,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The edit's last quarter (code points, rounded down) is replaced by the first as many of the next document in
     ascending id. Partitions are streamed in order, with one row held at a time.
     """
+    bounded_batches(docs.sparkSession)
     pairs = _next_pairs(docs, RANGES * shuffle_partitions(docs.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

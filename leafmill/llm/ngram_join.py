@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._common import written
+from leafmill.llm._common import bounded_batches, written
 from leafmill.llm._tokens import TokenIds, claim
 from leafmill.llm.components import components
 
@@ -213,28 +213,32 @@ def frequent_keys(profiles: DataFrame) -> pa.Table:
     return met.orderBy(F.desc("n"), "key").limit(MOST_HOT).toArrow().sort_by("key")
 
 
-def with_kept_keys(profiles: DataFrame, t: Threshold) -> DataFrame:
-    """``profiles`` with the keys that each set keeps."""
-    hot = frequent_keys(profiles)
-    sent = profiles.sparkSession.sparkContext.broadcast((hot.column("key").to_numpy(), hot.column("n").to_numpy()))
-
-    @F.arrow_udf("array<bigint>")
-    def kept(lists: pa.Array, sizes: pa.Array) -> pa.Array:
-        hot, times = sent.value
-        if not len(hot):
-            return lists
-        flat, lengths = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
-        often = np.where(hot[at] == flat, times[at], 0)
-        ends = np.cumsum(lengths)
+class Hot:
+    """Frequent keys, sorted, and how often they are met; sets leave out what they may."""
+
+    def __init__(self, found: pa.Table, t: Threshold):
+        self.keys, self.times, self.t = found.column("key").to_numpy(), found.column("n").to_numpy(), t
+
+    def keep(self, flat: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which keys stay: ``flat`` has those of all sets, one set after another."""
         stay = np.ones(len(flat), bool)
-        for row in np.unique(np.searchsorted(ends, np.flatnonzero(often), side="right")):
-            own = slice(ends[row] - lengths[row], ends[row])
-            stay[own] = leave_out(flat[own], sizes[row].as_py(), often[own], t)
-        before = np.r_[0, np.cumsum(stay)]
-        return pa.ListArray.from_arrays(pa.array(before[np.r_[0, ends]], pa.int32()), pa.array(flat[stay]))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, flat), len(self.keys) - 1)
+            often = np.where(self.keys[at] == flat, self.times[at], 0)
+            ends = np.cumsum(lengths)
+            for row in np.unique(np.searchsorted(ends, np.flatnonzero(often), side="right")):
+                own = slice(ends[row] - lengths[row], ends[row])
+                stay[own] = leave_out(flat[own], int(sizes[row]), often[own], self.t)
+        return stay
+
 
-    return profiles.withColumn("keys", kept("keys", "n_shingles"))
+def _kept(batch: pa.RecordBatch, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that stay, and the row of each."""
+    lists = batch.column("keys")
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    stay = hot.keep(flat, lengths, batch.column("n_shingles").to_numpy(zero_copy_only=False))
+    return flat[stay], np.repeat(np.arange(batch.num_rows), lengths)[stay]
 
 
 def _runs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,8 +251,8 @@ def _runs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return key[first], doc[first], np.unique(np.stack((doc[other], least[other]), axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
 
 
-def ties(profiles: DataFrame) -> DataFrame:
-    """a, b: a star of ids for every shared key."""
+def ties(profiles: DataFrame, hot) -> DataFrame:
+    """a, b: a star of ids for every shared key that sets keep; ``hot``: a broadcast ``Hot``."""
     kind = "key long, doc long, least long"
 
     def batch_of(key, doc, least) -> pa.RecordBatch:
@@ -264,10 +268,9 @@ def ties(profiles: DataFrame) -> DataFrame:
                 yield batch_of(_mix(pairs[:, 0].astype(np.uint64)).view(np.int64), pairs[:, 0], pairs[:, 1])
 
         for batch in batches:
-            lists = batch.column("keys")
-            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            held.append((lists.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), lengths)))
-            n += lengths.sum()
+            key, row = _kept(batch, hot.value)
+            held.append((key, batch.column("doc_id").to_numpy(zero_copy_only=False)[row]))
+            n += len(key)
             if n >= TOGETHER:
                 yield from out()
                 held, n = [], 0
@@ -292,7 +295,7 @@ def ties(profiles: DataFrame) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a[:, 0].copy()), pa.array(a[:, 1].copy())], names=["a", "b"])
 
-    rows = profiles.where("doc_id IS NOT NULL AND size(keys) > 0").select("doc_id", "keys").mapInArrow(combine, kind)
+    rows = profiles.where("doc_id IS NOT NULL AND size(keys) > 0").select("doc_id", "n_shingles", "keys").mapInArrow(combine, kind)
     return rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(star, "a long, b long").distinct()
 
 
@@ -467,10 +470,17 @@ def _linked(rows: DataFrame, t: Threshold) -> DataFrame:
     return rows.select("task", "side", "node", "root", "items").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def _by_keys(profiles: DataFrame, open_: DataFrame, t: Threshold) -> DataFrame:
+def _by_keys(profiles: DataFrame, hot, open_: DataFrame, t: Threshold) -> DataFrame:
     """node, root, task, side: the tasks where classes of clusters that aren't connected yet meet by a shared key."""
     own = open_.select(F.col("doc").alias("doc_id"), "digest", "node", "root", "n_shingles")
-    all_ = profiles.select("doc_id", "digest", "keys").join(own, ["doc_id", "digest"]).select("node", "root", "n_shingles", F.explode("keys").alias("key"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, row = _kept(batch, hot.value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("node", "root", "n_shingles")), pa.array(key)], names=["node", "root", "n_shingles", "key"])
+
+    classes = profiles.select("doc_id", "digest", "keys").join(own, ["doc_id", "digest"]).select("node", "root", "n_shingles", "keys")
+    all_ = classes.mapInArrow(each, "node long, root long, n_shingles long, key long")
     loose = all_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     # rows that repeat an id with its text give a class's keys again
     keyed = written(all_.join(loose, "key").distinct(), "keyed")
@@ -499,7 +509,7 @@ def _by_keys(profiles: DataFrame, open_: DataFrame, t: Threshold) -> DataFrame:
     return small.unionByName(pairs.select("node", "root", task.alias("task"), side.alias("side")))
 
 
-def verified(docs: DataFrame, profiles: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:
+def verified(docs: DataFrame, profiles: DataFrame, hot, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:
     """a, b: links that connect whatever is linked. ``candidates``: node, doc (an id with that set), cluster, digest, n_shingles, sketches of every class in one."""
     sets = _sets(docs, candidates, n)
     first = written(_linked(sets.where("task IS NOT NULL").select("task", F.lit(-1).alias("side"), "node", F.col("node").alias("root"), "items", "large"), t), "links")
@@ -517,7 +527,7 @@ def verified(docs: DataFrame, profiles: DataFrame, candidates: DataFrame, n: int
             return every
         last = sketch == SKETCHES
         if last:
-            tasks = _by_keys(profiles, open_, t)
+            tasks = _by_keys(profiles, hot, open_, t)
         else:
             of = open_.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SAMPLE).alias("share"))
             some = open_.join(of, "root").where(F.pmod(F.xxhash64("node", F.lit(sketch)), F.col("share")) == 0)
@@ -533,14 +543,16 @@ def verified(docs: DataFrame, profiles: DataFrame, candidates: DataFrame, n: int
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) of every row."""
     t = Threshold(num, den)
-    profiles = with_kept_keys(written(profile(docs, n, t), "profiles"), t)
+    bounded_batches(docs.sparkSession)
+    profiles = written(profile(docs, n, t), "profiles")
+    hot = docs.sparkSession.sparkContext.broadcast(Hot(frequent_keys(profiles), t))
     narrow = profiles.select("doc_id", "n_shingles", "digest")
     known = profiles.where("doc_id IS NOT NULL AND digest IS NOT NULL").select("doc_id", "n_shingles", "digest", "sketches")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches"))
     classes = written(classes.withColumn("node", F.xxhash64("digest")), "classes")
-    clusters = components(ties(profiles)).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    clusters = components(ties(profiles, hot)).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
     candidates = written(classes.join(clusters, "doc").select("node", "doc", "cluster", "digest", "n_shingles", "sketches"), "candidates")
-    found = verified(docs, profiles, candidates, n, t)
+    found = verified(docs, profiles, hot, candidates, n, t)
     # rows of one id are one document, so the classes of its texts are tied as well
     many = written(known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id", F.xxhash64("a").alias("a")), "many")
     repeated = known.select("doc_id", "digest").join(many, "doc_id").select("a", F.xxhash64("digest").alias("b"))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm._common import bounded_batches
 from leafmill.llm._labels import fold, labelled_texts
 from leafmill.llm._tokens import CACHED_CHARS, claim, keeps
 
@@ -43,7 +44,7 @@ HIDDEN, EPOCHS, STEP_ROWS, RATE, DECAY, KEPT = 32, 40, 256, 0.003, 1e-4, 0.2
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 
 #: Parts of the table that are summed apart, tokens whose contexts are added together, and different tokens that a task counts before it sends them.
-PARTS, TOGETHER, COUNTED = 512, 1 << 19, 1 << 17
+PARTS, TOGETHER, COUNTED = 512, 1 << 18, 1 << 18
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: The entry of a token that stands one or two tokens before already, whatever it is.
@@ -118,6 +119,7 @@ def frequent_words(docs: DataFrame, text: str = "text") -> list[str]:
     """The ``WORDS`` tokens that are most frequent in all documents, of up to ``CACHED_CHARS`` characters; ties by code point."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         seen: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
@@ -240,6 +242,7 @@ class Model(NamedTuple):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Words and vectors of all documents, and a network from at most ``rows`` labelled ones, whose pooled vectors are collected."""
+    bounded_batches(docs.sparkSession)
     words = frequent_words(docs)
     vectors = word_vectors(docs, words)
     sent = docs.sparkSession.sparkContext.broadcast((words, vectors))
@@ -260,6 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds ``out``: how likely the whole text is good."""
+    bounded_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

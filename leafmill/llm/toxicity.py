@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm._common import bounded_batches
 from leafmill.llm._labels import fold, labelled_texts
 from leafmill.llm._tokens import CACHED_CHARS, CACHED_TOKENS, claim, keeps
 
@@ -148,6 +149,7 @@ def train(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> Mo
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_features: int = TRAIN_FEATURES) -> Model:
     """Trains in one task on at most ``rows`` labelled texts, in the order of a hash of their ids; only weights that aren't zero come back."""
+    bounded_batches(docs.sparkSession)
     sample = labelled_texts(docs, labels, "toxic", FOLDS, HELD_OUT, rows)
 
     @F.arrow_udf("binary")
@@ -197,6 +199,7 @@ def scorer_of(model: Model) -> Scorer:
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds ``out``: how likely the whole text is toxic."""
+    bounded_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

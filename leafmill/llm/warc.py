@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._common import new_path, shuffle_partitions, written
+from leafmill.llm._common import bounded_batches, new_path, shuffle_partitions, written
 
 #: Bytes of a compressed archive after which a task begins another, bytes read at once, and records of a result batch.
 ARCHIVE_BYTES, STEP_BYTES, BATCH_RECORDS = 256 << 20, 1 << 16, 512
@@ -147,6 +147,7 @@ def plan_records(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
 
 def write(pages: DataFrame, revisit_from: int = 0, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes page_id, url, html as archives into the shared folder; returns the manifest: path, records, bytes."""
+    bounded_batches(pages.sparkSession)
     folder = new_path(pages.sparkSession, "warc")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
