@@ -17,10 +17,10 @@
    is verified against the sets, unless both are connected already.
 4. A cluster of up to ``BLOCK`` classes is one task. A larger one is never sent whole: first its classes meet those with the
    same least hash, in parts, then a few of each part's components meet again by other sketches, which joins most near copies.
-   What is exact comes last: for every key whose classes aren't all connected yet, these meet by that key; keys with
-   the same classes count once. If they are over ``BLOCK``, they are cut by size range and hash, and two parts meet where
-   sizes allow a link and not both lie in the key's greatest component. So a set is sent as often as it has such
-   keys, not as often as its cluster has parts.
+   What is exact comes last: the classes of a cluster that isn't connected yet meet as a whole, or, for every key
+   whose classes aren't connected yet, by that key (keys with the same classes count once), whichever sends fewer sets,
+   as counts tell beforehand. Groups over ``BLOCK`` are cut by size range and hash, and two parts meet where sizes allow
+   a link and not both lie in the group's greatest component. So a set is never sent oftener than it has such keys.
 5. Links (a spanning forest from each task) and classes give the components.
 
 Defined cases: a null, empty or all-blank text has no shingles and is linked with nothing; with fewer words than n, the
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._common import bounded_batches, written
+from leafmill.llm._common import bounded_batches, let_go, written
 from leafmill.llm._tokens import TokenIds, claim
 from leafmill.llm.components import components
 
@@ -470,53 +470,73 @@ def _linked(rows: DataFrame, t: Threshold) -> DataFrame:
     return rows.select("task", "side", "node", "root", "items").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def _by_keys(profiles: DataFrame, hot, open_: DataFrame, t: Threshold) -> DataFrame:
-    """node, root, task, side: the tasks where classes of clusters that aren't connected yet meet by a shared key."""
-    own = open_.select(F.col("doc").alias("doc_id"), "digest", "node", "root", "n_shingles")
+def _ranges(rows: DataFrame, group: str, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Rows with their range of sizes; and of each group, part of it (in its greatest component or not) and range: the parts of about ``BLOCK`` and those it meets."""
+    step = 1.0001 * float(np.log(t.den / t.num)) or 1.0
+    ranged = rows.withColumn("range", F.floor(F.log(F.col("n_shingles")) / F.lit(step)).cast("int")).withColumn("great", F.col("root") == F.col("most"))
+    counts = written(ranged.groupBy(group, "great", "range").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "ranges")
+    # a row for each range of a group of over BLOCK classes
+    one, other = counts.alias("a"), counts.alias("b")
+    near = one.join(other, F.col(f"a.{group}") == F.col(f"b.{group}")).where((F.abs(F.col("a.range") - F.col("b.range")) <= 1) & ~(F.col("a.great") & F.col("b.great")))
+    near = near.groupBy(f"a.{group}", "a.great", "a.range").agg(F.first("a.n").alias("n"), F.first("a.parts").alias("own"), F.sum("b.parts").alias("times"), F.collect_list(F.struct("b.great", "b.range", "b.parts")).alias("near"))
+    return ranged, near
+
+
+def _dealt(rows: DataFrame, group: str, t: Threshold) -> DataFrame:
+    """node, root, task, side: the tasks of groups' classes. ``rows``: group, size (of the group), most (its greatest component), node, root, n_shingles."""
+    small = rows.where(F.col("size") <= BLOCK).select("node", "root", F.xxhash64(group).alias("task"), F.lit(-1).alias("side"))
+    ranged, near = _ranges(rows.where(F.col("size") > BLOCK), group, t)
+    dealt = ranged.join(near, [group, "great", "range"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("own")).cast("int"))
+    mine = F.struct("great", "range", "part")
+    theirs = F.explode(F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0), x.parts - 1), lambda p: F.struct(x.great.alias("great"), x["range"].alias("range"), p.alias("part"))))))
+    pairs = dealt.withColumn("mine", mine).withColumn("theirs", theirs)
+    task = F.xxhash64(group, F.least("mine", "theirs"), F.greatest("mine", "theirs"))
+    side = F.when(F.col("mine") == F.col("theirs"), -1).when(F.col("mine") < F.col("theirs"), 0).otherwise(1)
+    return small.unionByName(pairs.select("node", "root", task.alias("task"), side.alias("side")))
+
+
+def _last_tasks(profiles: DataFrame, hot, open_: DataFrame, t: Threshold) -> DataFrame:
+    """node, root, task, side: the tasks where classes of clusters that aren't connected yet meet, as a whole or by shared keys."""
+    own = open_.select(F.col("doc").alias("doc_id"), "digest", "node", "root", "cluster", "n_shingles")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, row = _kept(batch, hot.value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("node", "root", "n_shingles")), pa.array(key)], names=["node", "root", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in names), pa.array(key)], names=[*names, "key"])
 
-    classes = profiles.select("doc_id", "digest", "keys").join(own, ["doc_id", "digest"]).select("node", "root", "n_shingles", "keys")
-    all_ = classes.mapInArrow(each, "node long, root long, n_shingles long, key long")
+    names = ["node", "root", "cluster", "n_shingles"]
+    classes = profiles.select("doc_id", "digest", "keys").join(own, ["doc_id", "digest"]).select(*names, "keys")
+    all_ = classes.mapInArrow(each, "node long, root long, cluster long, n_shingles long, key long")
     loose = all_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     # rows that repeat an id with its text give a class's keys again
     keyed = written(all_.join(loose, "key").distinct(), "keyed")
     # of a key: its classes, their greatest component, and a digest of which they are
     groups = keyed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit("sum")) % (1 << 31)).alias("s"))
     groups = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
-    once = groups.groupBy("n", "x", "s").agg(F.min(F.struct("key", F.col("most.root").alias("most"))).alias("k")).select("k.key", "k.most", "n")
-    once = written(once, "mixed")
-    small = keyed.join(once.where(F.col("n") <= BLOCK), "key").select("node", "root", F.xxhash64("key").alias("task"), F.lit(-1).alias("side"))
-    if once.where(F.col("n") > BLOCK).isEmpty():
-        return small
+    once = groups.groupBy("n", "x", "s").agg(F.min(F.struct("key", F.col("most.root").alias("most"))).alias("k")).select("k.key", "k.most", F.col("n").alias("size"))
+    by_key = written(keyed.join(once, "key"), "by_key")
 
-    step = 1.0001 * float(np.log(t.den / t.num)) or 1.0
-    ranged = keyed.join(once.where(F.col("n") > BLOCK), "key").withColumn("range", F.floor(F.log(F.col("n_shingles")) / F.lit(step)).cast("int")).withColumn("great", F.col("root") == F.col("most"))
-    counts = written(ranged.groupBy("key", "great", "range").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "ranges")
-    # a row for each range of such a key: over BLOCK classes stand behind it
-    one, other = counts.alias("a"), counts.alias("b")
-    near = one.join(other, F.col("a.key") == F.col("b.key")).where((F.abs(F.col("a.range") - F.col("b.range")) <= 1) & ~(F.col("a.great") & F.col("b.great")))
-    near = near.groupBy("a.key", "a.great", "a.range").agg(F.first("a.parts").alias("own"), F.collect_list(F.struct("b.great", "b.range", "b.parts")).alias("near"))
-    dealt = ranged.join(near, ["key", "great", "range"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("own")).cast("int"))
-    mine = F.struct("great", "range", "part")
-    theirs = F.explode(F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0), x.parts - 1), lambda p: F.struct(x.great.alias("great"), x["range"].alias("range"), p.alias("part"))))))
-    pairs = dealt.withColumn("mine", mine).withColumn("theirs", theirs)
-    task = F.xxhash64("key", F.least("mine", "theirs"), F.greatest("mine", "theirs"))
-    side = F.when(F.col("mine") == F.col("theirs"), -1).when(F.col("mine") < F.col("theirs"), 0).otherwise(1)
-    return small.unionByName(pairs.select("node", "root", task.alias("task"), side.alias("side")))
+    sizes = open_.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"))
+    whole = written(open_.select(*names).join(sizes.select("cluster", "size", "most.root").withColumnRenamed("root", "most"), "cluster"), "whole")
+    # how often sets would be sent, one way and the other
+    keyed_copies = by_key.groupBy("cluster").agg(F.sum(F.ceil(F.col("size") / BLOCK)).alias("by_key"))
+    whole_copies = _ranges(whole, "cluster", t)[1].groupBy("cluster").agg(F.sum(F.col("n") * F.col("times")).alias("as_whole"))
+    way = keyed_copies.join(whole_copies, "cluster", "left").select("cluster", (F.col("by_key") < F.coalesce("as_whole", F.lit(0))).alias("keys"))
+    way = written(way, "way")
+    as_whole, by_key = whole.join(way.where("NOT keys").select("cluster"), "cluster"), by_key.join(way.where("keys").select("cluster"), "cluster")
+    return _dealt(as_whole, "cluster", t).unionByName(_dealt(by_key, "key", t))
 
 
 def verified(docs: DataFrame, profiles: DataFrame, hot, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:
     """a, b: links that connect whatever is linked. ``candidates``: node, doc (an id with that set), cluster, digest, n_shingles, sketches of every class in one."""
     sets = _sets(docs, candidates, n)
+    let_go(docs.sparkSession)
     first = written(_linked(sets.where("task IS NOT NULL").select("task", F.lit(-1).alias("side"), "node", F.col("node").alias("root"), "items", "large"), t), "links")
     large = written(candidates.join(sets.where("large").select("node"), "node"), "large")
     if large.isEmpty():
         return first
     found = written(first.join(large.select(F.col("node").alias("a")), "a", "left_semi"), "links")
+    let_go(docs.sparkSession)
     every, sketch = first, 1
     while True:
         joined = components(found)
@@ -525,9 +545,11 @@ def verified(docs: DataFrame, profiles: DataFrame, hot, candidates: DataFrame, n
         open_ = written(rooted.join(mixed, "cluster"), "open")
         if open_.isEmpty():
             return every
-        last = sketch == SKETCHES
+        # sketches only save work: where components are of few classes, and where few met by the last one, the exact way is next
+        few = open_.select("root").distinct().count() * 2 > open_.count()
+        last = few or sketch == SKETCHES
         if last:
-            tasks = _by_keys(profiles, hot, open_, t)
+            tasks = _last_tasks(profiles, hot, open_, t)
         else:
             of = open_.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SAMPLE).alias("share"))
             some = open_.join(of, "root").where(F.pmod(F.xxhash64("node", F.lit(sketch)), F.col("share")) == 0)
@@ -536,7 +558,6 @@ def verified(docs: DataFrame, profiles: DataFrame, hot, candidates: DataFrame, n
         found, every = found.unionByName(more), every.unionByName(more)
         if last:
             return every
-        # sketches only save work; when few meet by one, the exact way is next
         sketch = sketch + 1 if more.count() * FEW > open_.count() else SKETCHES
 
 
@@ -552,6 +573,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     classes = written(classes.withColumn("node", F.xxhash64("digest")), "classes")
     clusters = components(ties(profiles, hot)).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
     candidates = written(classes.join(clusters, "doc").select("node", "doc", "cluster", "digest", "n_shingles", "sketches"), "candidates")
+    let_go(docs.sparkSession)
     found = verified(docs, profiles, hot, candidates, n, t)
     # rows of one id are one document, so the classes of its texts are tied as well
     many = written(known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id", F.xxhash64("a").alias("a")), "many")
