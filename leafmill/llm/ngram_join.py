@@ -15,8 +15,8 @@
    a few sets and inner nodes hold OR-combined bitmaps, ranges of sizes, and the most shingles that a bitmap hides. A dual
    traversal follows only node pairs whose largest possible overlap reaches the least that a link needs. What is left
    is verified against the sets, unless both are connected already.
-4. A cluster of up to ``BLOCK`` classes is one task. A larger one is never sent whole: first its classes meet those with the
-   same least hash, in parts, then a few of each part's components meet again by other sketches, which joins most near copies.
+4. A cluster of up to ``BLOCK`` classes is one task; one of up to ``WHOLE`` is cut into parts that meet in pairs, so a set is
+   sent a bounded number of times. A larger one is never sent whole at first: its classes meet those with the same least hash, in parts, then a few of each part's components meet again by other sketches, which joins most near copies.
    What is exact comes last: the classes of a cluster that isn't connected yet meet as a whole, or, for every key
    whose classes aren't connected yet, by that key (keys with the same classes count once), whichever sends fewer sets,
    as counts tell beforehand. Groups over ``BLOCK`` are cut by size range and hash, and two parts meet where sizes allow
@@ -47,6 +47,8 @@ from leafmill.llm.components import components
 
 #: Classes of a cluster part, sets of a leaf, children of a node, and bits of a bitmap for each shingle of the largest set.
 BLOCK, LEAF, FAN, BITS_EACH, MOST_BITS = 512, 8, 4, 8, 1 << 16
+#: Classes up to which a cluster's parts all meet: 32 parts.
+WHOLE = 32 * BLOCK
 
 #: Sketches of a set, and classes of a component that meet others by each sketch but the first, about.
 SKETCHES, SAMPLE = 4, 64
@@ -416,16 +418,16 @@ def _met(rows: DataFrame, *group: str) -> DataFrame:
     return rows.join(sizes, list(group)).withColumn("task", F.xxhash64(*group, part)).drop("n", "low", "high")
 
 
-def _sets(docs: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
-    """node, cluster, large, task, items of every class of a cluster, written: its set, and the task where it meets others first."""
-    sizes = candidates.groupBy("cluster").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    known = candidates.join(sizes, "cluster").withColumn("large", F.col("classes") > BLOCK)
-    drawn = known.where("large").withColumn("root", F.col("node")).withColumn("sketch", F.col("sketches")[0])
-    first = known.where("NOT large").withColumn("task", F.xxhash64("cluster"))
-    columns = ["node", "doc", "digest", "cluster", "large", "task"]
+def _sets(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:
+    """node, large, tasks, items of every class of a cluster, written: its set, and the tasks where it meets others first."""
+    sizes = written(candidates.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    known = written(candidates.join(sizes, "cluster").withColumn("large", F.col("size") > WHOLE), "known")
+    rows = known.select("node", "cluster", "size", "large", "n_shingles", F.col("node").alias("root"), F.lit(None).cast("long").alias("most"), F.col("sketches")[0].alias("sketch"))
+    first = _met(rows.where("large"), "cluster", "sketch").select("node", "task", F.lit(-1).alias("side"))
+    tasks = _dealt(rows.where("NOT large"), "cluster", t).select("node", "task", "side").unionByName(first)
     # a class whose sketch is its own alone meets no one yet, but its set is wanted all the same
-    lone = drawn.select("node", "doc", "digest", "cluster", "large").join(_met(drawn, "cluster", "sketch").select("node", "task"), "node", "left")
-    wanted = written(first.select(*columns).unionByName(lone.select(*columns)), "wanted")
+    own = tasks.groupBy("node").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
+    wanted = written(known.select("node", "doc", "digest", "large").join(own, "node", "left"), "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngram_join")
@@ -436,10 +438,10 @@ def _sets(docs: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
                 same = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d.as_py() for s, d in zip(found, part.column("digest"))], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*(part.column(c).filter(same) for c in names), pa.array([s.tobytes() for s in found], pa.binary()).filter(same)], names=[*names, "items"])
 
-    names = ["node", "cluster", "large", "task"]
+    names = ["node", "large", "tasks"]
     # what is wanted grows with the input: joined by shuffle at every size, never broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc").select(*names, "digest", "text")
-    return written(texts.mapInArrow(read, "node long, cluster long, large boolean, task long, items binary"), "sets")
+    return written(texts.mapInArrow(read, "node long, large boolean, tasks array<struct<task: bigint, side: int>>, items binary"), "sets")
 
 
 def _linked(rows: DataFrame, t: Threshold) -> DataFrame:
@@ -473,13 +475,13 @@ def _linked(rows: DataFrame, t: Threshold) -> DataFrame:
 def _ranges(rows: DataFrame, group: str, t: Threshold) -> tuple[DataFrame, DataFrame]:
     """Rows with their range of sizes; and of each group, part of it (in its greatest component or not) and range: the parts of about ``BLOCK`` and those it meets."""
     step = 1.0001 * float(np.log(t.den / t.num)) or 1.0
-    ranged = rows.withColumn("range", F.floor(F.log(F.col("n_shingles")) / F.lit(step)).cast("int")).withColumn("great", F.col("root") == F.col("most"))
+    ranged = rows.withColumn("range", F.floor(F.log(F.col("n_shingles")) / F.lit(step)).cast("int")).withColumn("great", F.col("root").eqNullSafe(F.col("most")))
     counts = written(ranged.groupBy(group, "great", "range").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "ranges")
     # a row for each range of a group of over BLOCK classes
     one, other = counts.alias("a"), counts.alias("b")
     near = one.join(other, F.col(f"a.{group}") == F.col(f"b.{group}")).where((F.abs(F.col("a.range") - F.col("b.range")) <= 1) & ~(F.col("a.great") & F.col("b.great")))
     near = near.groupBy(f"a.{group}", "a.great", "a.range").agg(F.first("a.n").alias("n"), F.first("a.parts").alias("own"), F.sum("b.parts").alias("times"), F.collect_list(F.struct("b.great", "b.range", "b.parts")).alias("near"))
-    return ranged, near
+    return ranged, written(near, "near")
 
 
 def _dealt(rows: DataFrame, group: str, t: Threshold) -> DataFrame:
@@ -529,9 +531,10 @@ def _last_tasks(profiles: DataFrame, hot, open_: DataFrame, t: Threshold) -> Dat
 
 def verified(docs: DataFrame, profiles: DataFrame, hot, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:
     """a, b: links that connect whatever is linked. ``candidates``: node, doc (an id with that set), cluster, digest, n_shingles, sketches of every class in one."""
-    sets = _sets(docs, candidates, n)
+    sets = _sets(docs, candidates, n, t)
     let_go(docs.sparkSession)
-    first = written(_linked(sets.where("task IS NOT NULL").select("task", F.lit(-1).alias("side"), "node", F.col("node").alias("root"), "items", "large"), t), "links")
+    sent = sets.select("node", "items", F.explode("tasks").alias("at")).select("at.task", "at.side", "node", F.col("node").alias("root"), "items")
+    first = written(_linked(sent, t), "links")
     large = written(candidates.join(sets.where("large").select("node"), "node"), "large")
     if large.isEmpty():
         return first
