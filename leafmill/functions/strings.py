@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.parse.tokens import PDF_DOC
+
 #: ASCII marks that end a word, as a regex class, and white space inside ASCII.
 DELIMITER = r"^[ \t-\r!-/:-@\[-`{-~]$"
 BLANKS = r"[ \t\n\r\f]+"
@@ -72,16 +74,34 @@ def hex_decode(c: Column) -> Column:
 
 
 def text_of(raw: Column) -> Column:
-    """Text of a string's bytes: by its byte order mark, else as single bytes."""
+    """Text of a string's bytes: by its byte order mark, else as PDFDocEncoding."""
     starts = lambda mark: F.hex(F.substring(raw, 1, len(mark) // 2)) == mark
     rest = lambda n: F.substring(raw, n + 1, 1 << 30)
-    return F.when(starts("FEFF"), F.decode(rest(2), "UTF-16BE")).when(starts("FFFE"), F.decode(rest(2), "UTF-16LE")).when(starts("EFBBBF"), F.decode(rest(3), "UTF-8")).otherwise(F.decode(raw, "ISO-8859-1"))
+    return F.when(starts("FEFF"), F.decode(rest(2), "UTF-16BE")).when(starts("FFFE"), F.decode(rest(2), "UTF-16LE")).when(starts("EFBBBF"), F.decode(rest(3), "UTF-8")).otherwise(F.translate(F.decode(raw, "ISO-8859-1"), "".join(map(chr, PDF_DOC)), "".join(PDF_DOC.values())))
+
+
+def is_doc_text(c: Column) -> Column:
+    """Whether the text can be said in PDFDocEncoding."""
+    said = "".join(rf"\x{{{ord(x):X}}}" for x in PDF_DOC.values())
+    return c.rlike(rf"^[\x00-\x17\x20-\x7E\xA1-\xAC\xAE-\xFF{said}]*$")
+
+
+def is_valid_utf8(raw: Column) -> Column:
+    return F.is_valid_utf8(raw.cast("string"))
+
+
+def base_font_name(c: Column) -> Column:
+    """struct(name, italic, bold) of a font's name: without a subset's prefix, style suffixes and spaces."""
+    own = F.regexp_replace(c, r"^[A-Z]{6}\+", "")
+    has = lambda *styles: own.rlike(f"[,-]({'|'.join(styles)})")
+    name = F.regexp_replace(F.regexp_replace(own, "[,-](BoldItalic|BoldOblique|Bold|Italic|Oblique|Regular)", ""), " ", "")
+    return F.struct(name.alias("name"), has("Italic", "Oblique", "BoldItalic", "BoldOblique").alias("italic"), has("Bold").alias("bold"))
 
 
 def is_plain_ascii(c: Column) -> Column:
     return c.rlike(r"^[\x00-\x7F]*$")
 
 
-def keywords(c: Column, separator: str = "[,;]") -> Column:
-    """A list of keywords, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(c, separator), F.trim), lambda k: k != "")
+def keywords(c: Column) -> Column:
+    """Keywords of a list: it is cut after each carriage return or line feed, which stays at its keyword's end."""
+    return F.filter(F.regexp_extract_all(c, F.lit(r"([^\r\n]*[\r\n]|[^\r\n]+$)")), lambda k: k != "")

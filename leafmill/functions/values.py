@@ -71,6 +71,66 @@ def affine(x: Column, y: Column, m: tuple[float, float, float, float, float, flo
     return x * a + y * c + e, x * b + y * d + f
 
 
+def frame_rotation(box: Column, degrees: Column) -> tuple[Column, ...]:
+    """The matrix a b c d e f that turns a frame (array of left, bottom, right, top) and moves its lower left corner back to where it was."""
+    r = F.radians(degrees.cast("double"))
+    a, b, c, d = F.cos(r), F.sin(r), -F.sin(r), F.cos(r)
+    at = lambda i: F.get(box, F.lit(i))
+    left, bottom = F.least(at(0), at(2)), F.least(at(1), at(3))
+    right, top = F.greatest(at(0), at(2)), F.greatest(at(1), at(3))
+    # two opposite corners, turned by a multiple of 90 degrees, are the turned frame's
+    e = left - F.least(left * a + bottom * c, right * a + top * c)
+    f = bottom - F.least(left * b + bottom * d, right * b + top * d)
+    return a, b, c, d, e, f
+
+
+def frame_rotation_inverse(box: Column, degrees: Column) -> tuple[Column, ...]:
+    """The matrix that takes back ``frame_rotation``."""
+    a, b, c, d, e, f = frame_rotation(box, degrees)
+    return d, -b, -c, a, -(e * d - f * c), -(f * a - e * b)
+
+
+def vector_sum(x1: Column, y1: Column, x2: Column, y2: Column, sign: int = 1) -> tuple[Column, Column]:
+    return x1 + sign * x2, y1 + sign * y2
+
+
+def vector_length(x: Column, y: Column) -> Column:
+    return F.hypot(x, y)
+
+
+def utc_now() -> Column:
+    """The time of the query, to the second."""
+    return F.date_trunc("second", F.current_timestamp())
+
+
+def overflows(a: Column, b: Column) -> Column:
+    """Whether a product of 64-bit numbers is out of their range; null if either is null."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.try_multiply(a.cast("long"), b.cast("long")).isNull())
+
+
+def uint_to_bytes(n: Column, size: int = 4) -> Column:
+    """Big-endian bytes of an unsigned number."""
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 2 * size, "0"))
+
+
+def uint_from_bytes(raw: Column) -> Column:
+    """The unsigned number of up to seven big-endian bytes."""
+    return F.conv(F.hex(raw), 16, 10).cast("long")
+
+
+def parse_color(c: Column) -> Column:
+    """struct(space, c) of a colour as text: ``#RRGGBB``, ``#CCMMYYKK``, a gray number, or an array; null for anything else."""
+    octet = lambda i: F.conv(F.substring(c, 2 * i + 2, 2), 16, 10).cast("double") / 255
+    built = lambda space, parts: F.struct(F.lit(space).alias("space"), F.array(*parts).alias("c"))
+    gray_ = c.try_cast("double")
+    return (
+        F.when(c.rlike("^#[0-9A-Fa-f]{6}$"), built("DeviceRGB", [octet(i) for i in range(3)]))
+        .when(c.rlike("^#[0-9A-Fa-f]{8}$"), built("DeviceCMYK", [octet(i) for i in range(4)]))
+        .when(c.rlike(r"^[0-9.][0-9.]*$") & gray_.between(0, 1), built("DeviceGray", [gray_]))
+        .when(c.rlike(r"^\["), color_components(c))
+    )
+
+
 def within(x: Column, y: Column, left: float, bottom: float, width: float, height: float) -> Column:
     """Inside a rectangle, its edges included."""
     return x.between(left, left + width) & y.between(bottom, bottom + height)

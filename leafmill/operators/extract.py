@@ -6,11 +6,11 @@ height; gaps of a space's width (less 1e-7) are spaces, and those of over six ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import strings
-from leafmill.functions.values import within
+from leafmill.functions.values import affine, frame_rotation, within
 from leafmill.operators import ordered, text
 from leafmill.operators.text import Match
 
@@ -28,9 +28,9 @@ def text_entries(runs: DataFrame, how: Match = Match(), bounding_box: bool = Fal
         F.min_by("y", "n").alias("y"),
         F.max_by(F.col("gx") + F.col("advance"), "n").alias("end"),
         F.min("n").alias("seq"),
+        *([pieces.alias("pieces")] if how.extract else []),
         *(F.min_by(c, "n").alias(c) for c in ("ascent", "descent", "first_x", "rotate")),
-        F.first("width").alias("width"),
-        F.first("height").alias("height"),
+        F.first("box").alias("box"),
     )
     found = grouped.withColumn("length", F.abs(F.col("end") - F.col("x"))).where(~strings.is_blank(F.col("text")))
     if how.clip:
@@ -38,9 +38,11 @@ def text_entries(runs: DataFrame, how: Match = Match(), bounding_box: bool = Fal
     found = found.where(text.matches(F.col("text"), how))
     if how.extract:
         folded = strings.ascii_lower(F.col("text")) if how.ignore_case else F.col("text")
-        at = F.locate(how.pattern.lower() if how.ignore_case else how.pattern, folded)
-        share = (at - 1) / F.greatest(F.char_length("text"), F.lit(1))
-        found = found.withColumn("x", F.col("x") + share * F.col("length")).withColumn("length", F.col("length") * len(how.pattern) / F.char_length("text")).withColumn("text", F.substring("text", at, F.lit(len(how.pattern))))
+        at = F.locate(text.folded_pattern(how), folded)
+        # the glyph of each character: a match begins where its first glyph does and ends with its last one's advance
+        each = F.flatten(F.transform("pieces", lambda p: F.array_repeat(F.struct(p.gx.alias("x"), p.advance.alias("advance")), F.char_length(p.glyph))))
+        first, last = F.get(each, at - 1), F.get(each, at + (len(how.pattern) - 2))
+        found = found.withColumns({"x": first.x, "length": F.abs(last.x + last.advance - first.x), "text": F.substring("text", at, F.lit(len(how.pattern)))})
     box = F.struct(F.col("x").alias("l"), (F.col("y") + F.col("descent")).alias("b"), F.col("length").alias("w"), (F.col("ascent") - F.col("descent")).alias("h"))
     found = found.withColumn("bbox", box if bounding_box else F.lit(None).cast("struct<l: double, b: double, w: double, h: double>"))
     if not raw_coordinates:
@@ -63,7 +65,6 @@ def _segmented(runs: DataFrame, tokenize: bool) -> DataFrame:
 
 def _glyphs(runs: DataFrame, how: Match) -> DataFrame:
     """A row for each glyph that counts: placed, trimmed, and with the number of its word if words are asked for."""
-    runs = runs.withColumn("width", F.lit(None).cast("double")).withColumn("height", F.lit(None).cast("double"))
     before = F.when(F.col("_spaced"), F.array(F.struct(F.lit(" ").alias("text"), F.col("_gap").alias("advance")))).otherwise(F.array().cast("array<struct<text: string, advance: double>>"))
     start = F.when(F.col("_spaced"), F.col("_end")).otherwise(F.col("x"))
     page = Window.partitionBy("doc_id", "page_index", "entry")
@@ -85,9 +86,8 @@ def _glyphs(runs: DataFrame, how: Match) -> DataFrame:
 
 
 def _rotated(entries: DataFrame) -> DataFrame:
-    """Turns places of rotated pages back to an upright frame."""
-    r = F.radians(-F.col("rotate").cast("double"))
-    x: Column = F.col("x") * F.cos(r) - F.col("y") * F.sin(r)
-    y: Column = F.col("x") * F.sin(r) + F.col("y") * F.cos(r)
+    """Turns places of rotated pages with the page's frame, whose lower left corner stays."""
+    # a page's turn is clockwise; without a box, about the origin
+    x, y = affine(F.col("x"), F.col("y"), frame_rotation(F.coalesce("box", F.array(*(F.lit(0.0),) * 4)), 360 - F.col("rotate")))
     turned = F.col("rotate") % 360 != 0
-    return entries.withColumn("_x", F.when(turned, x).otherwise(F.col("x"))).withColumn("_y", F.when(turned, y).otherwise(F.col("y"))).drop("x", "y").withColumnsRenamed({"_x": "x", "_y": "y"})
+    return entries.withColumns({"x": F.when(turned, x).otherwise(F.col("x")), "y": F.when(turned, y).otherwise(F.col("y"))})

@@ -43,6 +43,11 @@ def tokens(df: DataFrame, text: str = "text", out: str = "tok") -> DataFrame:
     return df.withColumn(out, F.explode(strings.words(F.col(text))))
 
 
+def folded_pattern(how: Match) -> str:
+    """The pattern as it is looked for: case is ignored for ASCII only, as it is in the text."""
+    return how.pattern.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) if how.ignore_case else how.pattern
+
+
 def matches(text: Column, how: Match) -> Column:
     """Whether an entry's text meets the pattern."""
     if not how.pattern:
@@ -51,7 +56,7 @@ def matches(text: Column, how: Match) -> Column:
         return text.rlike(f"(?i){how.pattern}" if how.ignore_case else how.pattern)
     pattern = how.pattern
     if how.ignore_case:
-        text, pattern = strings.ascii_lower(text), pattern.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        text, pattern = strings.ascii_lower(text), folded_pattern(how)
     if how.whole_word:
         return strings.whole_word_first(text, pattern) if how.extract else text == pattern
     return F.contains(text, F.lit(pattern))
@@ -72,6 +77,6 @@ def search(entries: DataFrame, how: Match) -> DataFrame:
     found = found.where(matches(F.col("text"), how))
     if how.extract:
         text = strings.ascii_lower(F.col("text")) if how.ignore_case else F.col("text")
-        pattern = how.pattern.lower() if how.ignore_case else how.pattern
+        pattern = folded_pattern(how)
         found = found.withColumn("pos", F.locate(pattern, text).cast("long")).withColumn("text", F.substring("text", F.col("pos").cast("int"), F.lit(len(pattern))))
     return found

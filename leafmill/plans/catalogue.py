@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions import strings, values
+from leafmill.functions import edit, strings, values
 from leafmill.operators import graph, lookup, ordered, text
+from leafmill.plans import pdf_catalogue
 from leafmill.plans.oracle import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,7 +86,8 @@ def line_numbering(d):
 
 @_query("documents")
 def keywords_split(d):
-    return d.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"))
+    k = strings.keywords(F.coalesce("text", F.lit("")))
+    return d.select("doc_id", F.size(k).cast("long").alias("n"), F.get(k, F.lit(0)).alias("first"))
 
 
 # ordered, stateful operators
@@ -333,4 +335,73 @@ def link_destinations(p):
     return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("uri"))
 
 
+# scalar functions of documents
+
+
+@_query("part")
+def frame_rotated(p):
+    """A point of a page turned with its frame, and back."""
+    box = F.array(F.lit(10.0), F.lit(20.0), F.lit(610.0), F.lit(820.0))
+    degrees = F.col("p_size") % 4 * 90
+    x, y = values.affine(F.col("p_size").cast("double"), F.col("p_retailprice"), values.frame_rotation(box, degrees))
+    back_x, back_y = values.affine(x, y, values.frame_rotation_inverse(box, degrees))
+    near = (F.abs(back_x - F.col("p_size")) < 1e-6) & (F.abs(back_y - F.col("p_retailprice")) < 1e-6)
+    return p.select("p_partkey", F.round(x * 100).cast("long").alias("x"), F.round(y * 100).cast("long").alias("y"), near.alias("back"))
+
+
+@_query("part")
+def vector_lengths(p):
+    x, y = values.vector_sum(F.col("p_size") * 3, F.col("p_size") * 4, F.lit(0), F.lit(0), -1)
+    return p.select("p_partkey", F.round(values.vector_length(x, y)).cast("long").alias("length"))
+
+
+@_query("lineitem")
+def products_overflow(li):
+    return li.select("l_orderkey", "l_linenumber", values.overflows(F.col("l_orderkey"), F.lit(1 << 50)).alias("over"))
+
+
+@_query("orders")
+def endian_round_trip(o):
+    raw = values.uint_to_bytes(F.col("o_orderkey"))
+    return o.select("o_orderkey", F.hex(raw).alias("raw"), values.uint_from_bytes(raw).alias("again"))
+
+
+@_query("part")
+def color_hex(p):
+    c = values.parse_color(F.concat(F.lit("#"), F.lpad(F.hex((F.col("p_partkey") * 7919 % 16777216).cast("long")), 6, "0")))
+    part = lambda i: F.round(F.get(c.c, F.lit(i)) * 255).cast("long")
+    return p.select("p_partkey", c.space.alias("space"), part(0).alias("r"), part(1).alias("g"), part(2).alias("b"))
+
+
+@_query("part")
+def font_base_names(p):
+    style = F.get(F.array(*(F.lit(x) for x in ("", "-Bold", ",Italic", ",BoldItalic", "-Oblique"))), (F.col("p_partkey") % 5).cast("int"))
+    name = strings.base_font_name(F.concat(F.when(F.col("p_size") % 2 == 0, "ABCDEF+").otherwise(""), "p_name", style))
+    return p.select("p_partkey", name["name"].alias("name"), name.italic.alias("italic"), name.bold.alias("bold"))
+
+
+@_query("documents")
+def doc_encodable(d):
+    c = F.coalesce("text", F.lit(""))
+    return d.select("doc_id", strings.is_doc_text(c).alias("doc"), strings.is_plain_ascii(c).alias("ascii"), strings.is_valid_utf8(c.cast("binary")).alias("valid"))
+
+
+@_query("customer")
+def dictionary_edits(c):
+    """A key set, one removed, and what is read back."""
+    value = F.to_json(F.struct(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("b")))
+    changed = edit.remove_key(edit.set_key(value, "c", F.col("c_custkey").cast("string")), "b")
+    return c.select("c_custkey", F.get_json_object(changed, "$.a").alias("a"), F.get_json_object(changed, "$.b").alias("b"), F.get_json_object(changed, "$.c").alias("c"))
+
+
+@_query("customer")
+def array_edits(c):
+    value = F.concat(F.lit("["), F.col("c_custkey").cast("string"), F.lit(',"x",null]'))
+    out = edit.remove_at(edit.insert_at(edit.append(edit.set_at(value, 1, F.lit("[1]")), F.lit('"end"')), 0, F.lit("7")), 3)
+    return c.select("c_custkey", out.alias("edited"), edit.item_at(out, 1).alias("second"), edit.resize(out, 2).alias("cut"), edit.resize(value, 4).alias("filled"))
+
+
+QUERIES |= pdf_catalogue.QUERIES
+ORACLE_SQL |= pdf_catalogue.ORACLE_SQL
+
 __all__ = ["ORACLE_SQL", "QUERIES", "table"]

@@ -72,11 +72,22 @@ ORACLE_SQL: dict[str, str] = {
     "rgb_to_cmyk": r"""SELECT l_orderkey,l_linenumber, least(1-l_discount,1-l_tax,1-l_quantity/50) AS k FROM lineitem""",
     "affine_point": r"""SELECT p_partkey, p_size*2.0::DOUBLE+p_retailprice*0.5::DOUBLE+10 AS x, p_size*(-0.5::DOUBLE)+p_retailprice*2.0::DOUBLE+20
         AS y FROM part""",
-    "keywords_split": r"""SELECT doc_id, len(string_split(text,chr(10))) AS n FROM documents""",
+    "keywords_split": r"""WITH k AS (SELECT doc_id, regexp_extract_all(coalesce(text,''),'[^\r\n]*[\r\n]|[^\r\n]+$') AS k FROM documents) SELECT doc_id, len(k) AS n, k[1] AS first FROM k""",
     "annotation_enumerate": r"""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)-1 AS idx, role FROM conversations""",
     "sorted_dictionary": r"""SELECT n_regionkey, string_agg(n_name,',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey""",
     "props_get": r"""SELECT event_id, coalesce(TRY_CAST(json_extract_string(props,'$.k') AS BIGINT),-1) AS k FROM events""",
     "html_text": r"""SELECT page_id, length(regexp_replace(html,'<[^>]*>','','g')) AS n FROM pages""",
     "html_title": r"""SELECT page_id, regexp_extract(html,'<title>([^<]*)</title>',1) AS title FROM pages""",
     "link_destinations": r"""SELECT page_id, unnest(regexp_extract_all(html,'href="([^"]*)"',1)) AS uri FROM pages""",
+    "frame_rotated": r"""SELECT p_partkey, CAST(round(100*CASE p_size%4 WHEN 0 THEN p_size WHEN 1 THEN 830-p_retailprice WHEN 2 THEN 620-p_size ELSE p_retailprice-10 END) AS BIGINT) AS x,
+        CAST(round(100*CASE p_size%4 WHEN 0 THEN p_retailprice WHEN 1 THEN p_size+10 WHEN 2 THEN 840-p_retailprice ELSE 630-p_size END) AS BIGINT) AS y, true AS back FROM part""",
+    "vector_lengths": r"""SELECT p_partkey, CAST(5*p_size AS BIGINT) AS length FROM part""",
+    "products_overflow": r"""SELECT l_orderkey, l_linenumber, CAST(l_orderkey AS HUGEINT)*1125899906842624 > 9223372036854775807 AS over FROM lineitem""",
+    "endian_round_trip": r"""SELECT o_orderkey, lpad(printf('%X',o_orderkey),8,'0') AS raw, CAST(o_orderkey AS BIGINT) AS again FROM orders""",
+    "color_hex": r"""WITH c AS (SELECT p_partkey, CAST(p_partkey AS BIGINT)*7919%16777216 AS c FROM part) SELECT p_partkey, 'DeviceRGB' AS space, c//65536 AS r, c//256%256 AS g, c%256 AS b FROM c""",
+    "font_base_names": r"""SELECT p_partkey, replace(p_name,' ','') AS name, p_partkey%5 IN (2,3,4) AS italic, p_partkey%5 IN (1,3) AS bold FROM part""",
+    "doc_encodable": r"""SELECT doc_id, regexp_full_match(coalesce(text,''),'[\x00-\x17\x20-\x7E\x{A1}-\x{AC}\x{AE}-\x{FF}˘ˇˆ˙˝˛˚˜•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž€]*') AS doc,
+        regexp_full_match(coalesce(text,''),'[\x00-\x7F]*') AS ascii, true AS valid FROM documents""",
+    "dictionary_edits": r"""SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b, CAST(c_custkey AS VARCHAR) AS c FROM customer""",
+    "array_edits": r"""SELECT c_custkey, '[7,'||c_custkey||',[1],"end"]' AS edited, CAST(c_custkey AS VARCHAR) AS second, '[7,'||c_custkey||']' AS cut, '['||c_custkey||',"x",null,null]' AS filled FROM customer""",
 }

@@ -23,7 +23,7 @@ OBJECTS = "doc_id bigint, obj int, gen int, type string, value string, stream_ra
 XREF = "doc_id bigint, revision int, obj int, kind string, offset bigint, gen int, container int, idx int, error string"
 PAGES = "doc_id bigint, page_index int, obj int, media_box array<double>, crop_box array<double>, rotate int, value string, error string"
 CONTENT = "doc_id bigint, page_index int, seq bigint, depth int, type string, op string, operands string, warnings int, data binary, error string"
-RUNS = "doc_id bigint, page_index int, seq bigint, text string, x double, y double, length double, space_len double, ascent double, descent double, chunk int, glyphs array<struct<text: string, advance: double>>, rotate int, error string"
+RUNS = "doc_id bigint, page_index int, seq bigint, text string, x double, y double, length double, space_len double, ascent double, descent double, chunk int, glyphs array<struct<text: string, advance: double>>, rotate int, box array<double>, error string"
 DOCUMENTS = "doc_id bigint, version string, trailer string, n_objects int, n_bytes bigint, encrypted boolean, rebuilt boolean, error string"
 
 
@@ -169,7 +169,7 @@ def glyph_runs(files: DataFrame, mode: str = "PERMISSIVE", password: str = "", m
 
     def rows(doc_id: int, doc: Document) -> Iterator[dict]:
         for index, _, node in content.pages(doc):
-            rotate = content.inherited(doc, node, "Rotate")
+            rotate, box = content.inherited(doc, node, "Rotate"), _box(content.inherited(doc, node, "MediaBox"))
             errors: list[str] = []
             for r in page_runs(doc, node, errors):
                 yield {
@@ -186,6 +186,7 @@ def glyph_runs(files: DataFrame, mode: str = "PERMISSIVE", password: str = "", m
                     "chunk": r.chunk,
                     "glyphs": [{"text": t, "advance": a} for t, a in r.glyphs],
                     "rotate": int(rotate) % 360 if isinstance(rotate, int | float) else 0,
+                    "box": box,
                 }
             yield from ({"doc_id": doc_id, "page_index": index, "error": e} for e in errors)
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def gap_entries(events: DataFrame, gap: str = "1 hour", late: str = "2 hours", key: str = "user_id", ts: str = "ts") -> DataFrame:
     """key, opened, closed, n of each entry; the same on a batch. State is one window for each open entry.
 
-    A session window ends its gap after the last row, so ``closed`` is that row's time plus the gap. Rows exactly a gap apart are in
-    entries of their own here; the batch operator keeps them together.
+    ``closed`` is the last row's time plus the gap. Rows exactly a gap apart are in one entry, as in the batch operator: a session
+    window, which would part them, is a microsecond longer, the least that times differ by.
     """
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    grouped = timed.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
-    return grouped.select(key, F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "n")
+    grouped = timed.groupBy(F.session_window(ts, f"{gap} 1 microsecond").alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
+    return grouped.select(key, F.col("w.start").alias("opened"), (F.col("w.end") - F.expr("INTERVAL 1 MICROSECOND")).alias("closed"), "n")
 
 
 def matching_lines(documents: DataFrame, pattern: str) -> DataFrame:
