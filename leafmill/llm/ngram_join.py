@@ -15,12 +15,13 @@
    a few sets and inner nodes hold OR-combined bitmaps, ranges of sizes, and the most shingles that a bitmap hides. A dual
    traversal follows only node pairs whose largest possible overlap reaches the least that a link needs. What is left
    is verified against the sets, unless both are connected already.
-4. A cluster of up to ``BLOCK`` classes is one task; one of up to ``WHOLE`` is cut into parts that meet in pairs, so a set is
-   sent a bounded number of times. A larger one is never sent whole at first: its classes meet those with the same least hash, in parts, then a few of each part's components meet again by other sketches, which joins most near copies.
+4. A cluster of up to ``BLOCK`` classes is one task. A larger one is never sent whole at first: its classes meet those with the
+   same least hash, in parts, then a few of each part's components meet again by other sketches, which joins most near copies.
    What is exact comes last: the classes of a cluster that isn't connected yet meet as a whole, or, for every key
-   whose classes aren't connected yet, by that key (keys with the same classes count once), whichever sends fewer sets,
+   whose classes aren't connected yet, by that key (keys with the same classes count once), whichever sends fewer,
    as counts tell beforehand. Groups over ``BLOCK`` are cut by size range and hash, and two parts meet where sizes allow
-   a link and not both lie in the group's greatest component. So a set is never sent oftener than it has such keys.
+   a link and not both lie in the group's greatest component. There bitmaps of two to four bits a shingle meet first, in the same
+   trees; a task is then sent the sets that these leave a partner, and no others.
 5. Links (a spanning forest from each task) and classes give the components.
 
 Defined cases: a null, empty or all-blank text has no shingles and is linked with nothing; with fewer words than n, the
@@ -47,8 +48,8 @@ from leafmill.llm.components import components
 
 #: Classes of a cluster part, sets of a leaf, children of a node, and bits of a bitmap for each shingle of the largest set.
 BLOCK, LEAF, FAN, BITS_EACH, MOST_BITS = 512, 8, 4, 8, 1 << 16
-#: Classes up to which a cluster's parts all meet: 32 parts.
-WHOLE = 32 * BLOCK
+#: Bits for each shingle, at least, of the bitmaps that meet before sets do.
+BITS_SENT = 2
 
 #: Sketches of a set, and classes of a component that meet others by each sketch but the first, about.
 SKETCHES, SAMPLE = 4, 64
@@ -301,23 +302,30 @@ def ties(profiles: DataFrame, hot) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(star, "a long, b long").distinct()
 
 
+def width(size: int, each: int) -> int:
+    """Bits of a bitmap for sets of up to ``size`` shingles, at least ``each`` for one: a power of two."""
+    return min(MOST_BITS, max(512, 1 << (each * size - 1).bit_length()))
+
+
+def bitmap(items: np.ndarray, bits: int) -> np.ndarray:
+    marks = np.zeros(bits, bool)
+    marks[(items & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(marks)
+
+
 class Tree:
-    """A signature tree over sorted sets: levels from the leaves up, each a range of the level below."""
+    """A signature tree over bitmaps of sets: levels from the leaves up, each a range of the level below.
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        # alike sets have the same smallest hashes more often than not, so they are neighbours
-        order = sorted(range(len(sets)), key=lambda i: (sets[i][0], len(sets[i])))
-        self.order, self.sets = order, [sets[i] for i in order]
-        self.sizes = np.array([len(s) for s in self.sets])
-        rows = np.zeros((len(sets), bits // 8), np.uint8)
-        for row, s in zip(rows, self.sets):
-            marks = np.zeros(bits, bool)
-            marks[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-            row[:] = np.packbits(marks)
-        maps = rows.view(np.uint64)
-        hidden = self.sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    A bitmap of fewer bits than others is repeated up to theirs. A shingle that it shares with one of these still has its
+    bit in both, so what they have in common and what the bitmap as it was sent hides remain a bound of the overlap.
+    """
+
+    def __init__(self, maps: list[np.ndarray], sizes: list[int], order: list[int], bits: int):
+        self.order, self.sizes = order, np.array([sizes[i] for i in order], np.int64)
+        rows = np.stack([np.tile(maps[i], bits // (8 * len(maps[i]))) for i in order])
+        hidden = self.sizes - np.array([int(np.bitwise_count(maps[i]).sum(dtype=np.int64)) for i in order], np.int64)
         #: Of each level: bitmaps, least and greatest size, and the most shingles that share a bit with another.
-        self.levels = [(maps, self.sizes, self.sizes, hidden)]
+        self.levels = [(rows.view(np.uint64), self.sizes, self.sizes, hidden)]
         for fan in (LEAF, *[FAN] * 40):
             maps, low, high, hidden = self.levels[-1]
             if len(low) == 1:
@@ -325,6 +333,14 @@ class Tree:
             starts = np.arange(0, len(low), fan)
             self.levels.append((np.bitwise_or.reduceat(maps, starts, axis=0), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(hidden, starts)))
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray], bits: int) -> Tree:
+        # alike sets have the same smallest hashes more often than not, so they are neighbours
+        order = sorted(range(len(sets)), key=lambda i: (sets[i][0], len(sets[i])))
+        tree = cls([bitmap(s, bits) for s in sets], [len(s) for s in sets], order, bits)
+        tree.sets = [sets[i] for i in order]
+        return tree
+
     def fan(self, level: int) -> int:
         return LEAF if level == 1 else FAN
 
@@ -391,10 +407,9 @@ def links(one: list[np.ndarray], other: list[np.ndarray] | None, t: Threshold, r
 
     Sets of one root are known to be connected.
     """
-    largest = max(len(s) for s in (*one, *(other or ())))
-    bits = min(MOST_BITS, max(512, 1 << (BITS_EACH * largest - 1).bit_length()))
-    left = Tree(one, bits)
-    right = left if other is None else Tree(other, bits)
+    bits = width(max(len(s) for s in (*one, *(other or ()))), BITS_EACH)
+    left = Tree.of(one, bits)
+    right = left if other is None else Tree.of(other, bits)
     shift = 0 if other is None else len(one)
     forest, out = Forest(len(one) + (len(other) if other else 0), roots), []
     for i, j in dual_traversal(left, right, t):
@@ -411,6 +426,27 @@ def links(one: list[np.ndarray], other: list[np.ndarray] | None, t: Threshold, r
     return out
 
 
+def partnered(one: list[tuple[np.ndarray, int, int]], other: list[tuple[np.ndarray, int, int]] | None, t: Threshold) -> np.ndarray:
+    """Which sets, as (bitmap, size, root), may be linked with one of another root: those of ``one``, then of ``other``."""
+    bits = 8 * max(len(m[0]) for m in (*one, *(other or ())))
+
+    def tree(side: list[tuple[np.ndarray, int, int]]) -> Tree:
+        maps, sizes, _ = zip(*side)
+        return Tree(maps, sizes, sorted(range(len(side)), key=lambda i: (sizes[i], maps[i].tobytes())), bits)
+
+    left = tree(one)
+    right = left if other is None else tree(other)
+    shift = 0 if other is None else len(one)
+    roots = np.array([m[2] for m in (*one, *(other or ()))], np.int64)
+    own, others = np.array(left.order), np.array(right.order) + shift
+    out = np.zeros(len(roots), bool)
+    for i, j in dual_traversal(left, right, t):
+        a, b = own[i], others[j]
+        apart = roots[a] != roots[b]
+        out[a[apart]] = out[b[apart]] = True
+    return out
+
+
 def _met(rows: DataFrame, *group: str) -> DataFrame:
     """Adds ``task``: rows of a group meet, in parts of about ``BLOCK`` by hash; groups that are connected already go."""
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
@@ -419,14 +455,14 @@ def _met(rows: DataFrame, *group: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """node, large, tasks, items of every class of a cluster, written: its set, and the tasks where it meets others first."""
+    """node, large, tasks, size, map, items of every class of a cluster, written: its set and that's bitmap, and the tasks where it meets others first."""
     sizes = written(candidates.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    known = written(candidates.join(sizes, "cluster").withColumn("large", F.col("size") > WHOLE), "known")
-    rows = known.select("node", "cluster", "size", "large", "n_shingles", F.col("node").alias("root"), F.lit(None).cast("long").alias("most"), F.col("sketches")[0].alias("sketch"))
-    first = _met(rows.where("large"), "cluster", "sketch").select("node", "task", F.lit(-1).alias("side"))
-    tasks = _dealt(rows.where("NOT large"), "cluster", t).select("node", "task", "side").unionByName(first)
+    known = written(candidates.join(sizes, "cluster").withColumn("large", F.col("size") > BLOCK), "known")
+    rows = known.select("node", "cluster", "large", F.col("node").alias("root"), F.col("sketches")[0].alias("sketch"))
+    first = _met(rows.where("large"), "cluster", "sketch").select("node", "task")
+    tasks = rows.where("NOT large").select("node", F.xxhash64("cluster").alias("task")).unionByName(first)
     # a class whose sketch is its own alone meets no one yet, but its set is wanted all the same
-    own = tasks.groupBy("node").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
+    own = tasks.groupBy("node").agg(F.collect_list("task").alias("tasks"))
     wanted = written(known.select("node", "doc", "digest", "large").join(own, "node", "left"), "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,12 +472,13 @@ def _sets(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> DataF
                 part = batch.slice(at, 200)
                 found = [shingles(text.as_py(), n) for text in part.column("text")]
                 same = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d.as_py() for s, d in zip(found, part.column("digest"))], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(same) for c in names), pa.array([s.tobytes() for s in found], pa.binary()).filter(same)], names=[*names, "items"])
+                made = [pa.array([len(s) for s in found], pa.int64()), pa.array([bitmap(s, width(len(s), BITS_SENT)).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.filter(same) for c in (*(part.column(c) for c in names), *made)], names=[*names, "size", "map", "items"])
 
     names = ["node", "large", "tasks"]
     # what is wanted grows with the input: joined by shuffle at every size, never broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc").select(*names, "digest", "text")
-    return written(texts.mapInArrow(read, "node long, large boolean, tasks array<struct<task: bigint, side: int>>, items binary"), "sets")
+    return written(texts.mapInArrow(read, "node long, large boolean, tasks array<bigint>, size long, map binary, items binary"), "sets")
 
 
 def _linked(rows: DataFrame, t: Threshold) -> DataFrame:
@@ -472,6 +509,37 @@ def _linked(rows: DataFrame, t: Threshold) -> DataFrame:
     return rows.select("task", "side", "node", "root", "items").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
+def _partnered(rows: DataFrame, t: Threshold) -> DataFrame:
+    """task, side, node, root of the sets whose bitmaps leave them a partner in their task. ``rows``: task, side, node, root, size, map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, members = None, {}
+
+        def found() -> pa.RecordBatch:
+            sides = [[m for m in members if m[0] == s] for s in (-1, 0, 1)]
+            kept = []
+            if len(sides[0]) > 1:
+                stay = partnered([members[m] for m in sides[0]], None, t)
+                kept = [m for m, k in zip(sides[0], stay) if k]
+            elif sides[1] and sides[2]:
+                stay = partnered([members[m] for m in sides[1]], [members[m] for m in sides[2]], t)
+                kept = [m for m, k in zip(sides[1] + sides[2], stay) if k]
+            columns = [pa.array([task] * len(kept), pa.int64()), pa.array([m[0] for m in kept], pa.int32()), pa.array([m[1] for m in kept], pa.int64()), pa.array([members[m][2] for m in kept], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["task", "side", "node", "root"])
+
+        for batch in batches:
+            for key, side, node, root, size, data in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "node", "root", "size")), batch.column("map")):
+                if key != task:
+                    if len(members) > 1:
+                        yield found()
+                    task, members = key, {}
+                members[side, node] = (np.frombuffer(data.as_py(), np.uint8), size, root)
+        if len(members) > 1:
+            yield found()
+
+    return rows.select("task", "side", "node", "root", "size", "map").repartition("task").sortWithinPartitions("task").mapInArrow(run, "task long, side int, node long, root long")
+
+
 def _ranges(rows: DataFrame, group: str, t: Threshold) -> tuple[DataFrame, DataFrame]:
     """Rows with their range of sizes; and of each group, part of it (in its greatest component or not) and range: the parts of about ``BLOCK`` and those it meets."""
     step = 1.0001 * float(np.log(t.den / t.num)) or 1.0
@@ -533,7 +601,7 @@ def verified(docs: DataFrame, profiles: DataFrame, hot, candidates: DataFrame, n
     """a, b: links that connect whatever is linked. ``candidates``: node, doc (an id with that set), cluster, digest, n_shingles, sketches of every class in one."""
     sets = _sets(docs, candidates, n, t)
     let_go(docs.sparkSession)
-    sent = sets.select("node", "items", F.explode("tasks").alias("at")).select("at.task", "at.side", "node", F.col("node").alias("root"), "items")
+    sent = sets.select(F.explode("tasks").alias("task"), F.lit(-1).alias("side"), "node", F.col("node").alias("root"), "items")
     first = written(_linked(sent, t), "links")
     large = written(candidates.join(sets.where("large").select("node"), "node"), "large")
     if large.isEmpty():
@@ -553,6 +621,8 @@ def verified(docs: DataFrame, profiles: DataFrame, hot, candidates: DataFrame, n
         last = few or sketch == SKETCHES
         if last:
             tasks = _last_tasks(profiles, hot, open_, t)
+            let_go(docs.sparkSession)
+            tasks = written(_partnered(sets.where("large").select("node", "size", "map").join(tasks, "node"), t), "partnered")
         else:
             of = open_.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SAMPLE).alias("share"))
             some = open_.join(of, "root").where(F.pmod(F.xxhash64("node", F.lit(sketch)), F.col("share")) == 0)

@@ -147,6 +147,32 @@ def test_trees_miss_no_link(seed, n, m, share):
         assert groups(n + m, got) == groups(n + m, [(i, n + j) for i in range(n) for j in range(m) if linked(one[i], other[j])])
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 40), st.integers(0, 40), st.sampled_from([(85, 100), (60, 100), (20, 100)]))
+def test_bitmaps_leave_linked_sets_a_partner(seed, n, m, share):
+    t, pick = Threshold(*share), np.random.Generator(np.random.PCG64(seed))
+    # sizes on both sides of a step of the bitmaps' width
+    base = pick.integers(0, 1 << 64, 300, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[pick.random(300) > pick.choice([0.02, 0.1, 0.3, 0.8])], pick.integers(0, 1 << 64, int(pick.integers(0, 60)), dtype=np.uint64), base[:1]]) for _ in range(n + m)]
+    roots = pick.integers(0, max(2, n // 2), n + m).tolist()
+    members = [(ngram_join.bitmap(s, ngram_join.width(len(s), ngram_join.BITS_SENT)), len(s), r) for s, r in zip(sets, roots)]
+    linked = lambda i, j: roots[i] != roots[j] and t.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])))
+    stay = ngram_join.partnered(members[:n], None, t)
+    assert all(stay[i] and stay[j] for i, j in combinations(range(n), 2) if linked(i, j))
+    if m:
+        stay = ngram_join.partnered(members[:n], members[n:], t)
+        assert len(stay) == n + m
+        assert all(stay[i] and stay[j] for i in range(n) for j in range(n, n + m) if linked(i, j))
+
+
+def test_bitmaps_rule_out_sets_that_share_a_passage():
+    t, pick = Threshold(80, 100), np.random.Generator(np.random.PCG64(1))
+    passage = pick.integers(0, 1 << 64, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[passage, pick.integers(0, 1 << 64, 200 + 2 * k, dtype=np.uint64)]) for k in range(30)]
+    members = [(ngram_join.bitmap(s, ngram_join.width(len(s), ngram_join.BITS_SENT)), len(s), k) for k, s in enumerate(sets)]
+    assert not ngram_join.partnered(members, None, t).any()
+
+
 def test_components_of_paths_stars_and_loops(spark):
     pick = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1100)] + [(1, 2), (2, 1), (2, 3), (3, 1), (50, 50)]
@@ -164,11 +190,11 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("whole", [16, 512])
-def test_large_clusters_against_brute_force(spark, monkeypatch, whole):
+@pytest.mark.parametrize("sketches", [1, 4])
+def test_large_clusters_against_brute_force(spark, monkeypatch, sketches):
     """Near copies in a chain and a common passage make clusters of many parts, components of many tasks, and keys over a block."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    monkeypatch.setattr(ngram_join, "WHOLE", whole)
+    monkeypatch.setattr(ngram_join, "SKETCHES", sketches)
     monkeypatch.setattr(ngram_join, "SAMPLE", 2)
     pick = random.Random(5)
     words, rows = [f"v{i}" for i in range(5000)], []
