@@ -15,7 +15,8 @@
    a few sets and inner nodes hold OR-combined bitmaps, ranges of sizes, and the most shingles that a bitmap hides. A dual
    traversal follows only node pairs whose largest possible overlap reaches the least that a link needs. What is left
    is verified against the sets, unless both are connected already.
-4. A cluster of up to ``BLOCK`` classes is one task. A larger one is never sent whole at first: its classes meet those with the
+4. A cluster of up to ``BLOCK`` classes is one task; one of up to ``WHOLE`` is cut into parts that meet in pairs, so a set is
+   sent a bounded number of times. A larger one is never sent whole at first: its classes meet those with the
    same least hash, in parts, then a few of each part's components meet again by other sketches, which joins most near copies.
    What is exact comes last: the classes of a cluster that isn't connected yet meet as a whole, or, for every key
    whose classes aren't connected yet, by that key (keys with the same classes count once), whichever sends fewer,
@@ -48,6 +49,9 @@ from leafmill.llm.components import components
 
 #: Classes of a cluster part, sets of a leaf, children of a node, and bits of a bitmap for each shingle of the largest set.
 BLOCK, LEAF, FAN, BITS_EACH, MOST_BITS = 512, 8, 4, 8, 1 << 16
+#: Classes up to which a cluster's parts all meet: 32 parts.
+WHOLE = 32 * BLOCK
+
 #: Bits for each shingle, at least, of the bitmaps that meet before sets do.
 BITS_SENT = 2
 
@@ -457,12 +461,12 @@ def _met(rows: DataFrame, *group: str) -> DataFrame:
 def _sets(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:
     """node, large, tasks, size, map, items of every class of a cluster, written: its set and that's bitmap, and the tasks where it meets others first."""
     sizes = written(candidates.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    known = written(candidates.join(sizes, "cluster").withColumn("large", F.col("size") > BLOCK), "known")
-    rows = known.select("node", "cluster", "large", F.col("node").alias("root"), F.col("sketches")[0].alias("sketch"))
-    first = _met(rows.where("large"), "cluster", "sketch").select("node", "task")
-    tasks = rows.where("NOT large").select("node", F.xxhash64("cluster").alias("task")).unionByName(first)
+    known = written(candidates.join(sizes, "cluster").withColumn("large", F.col("size") > WHOLE), "known")
+    rows = known.select("node", "cluster", "size", "large", "n_shingles", F.col("node").alias("root"), F.lit(None).cast("long").alias("most"), F.col("sketches")[0].alias("sketch"))
+    first = _met(rows.where("large"), "cluster", "sketch").select("node", "task", F.lit(-1).alias("side"))
+    tasks = _dealt(rows.where("NOT large"), "cluster", t).select("node", "task", "side").unionByName(first)
     # a class whose sketch is its own alone meets no one yet, but its set is wanted all the same
-    own = tasks.groupBy("node").agg(F.collect_list("task").alias("tasks"))
+    own = tasks.groupBy("node").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
     wanted = written(known.select("node", "doc", "digest", "large").join(own, "node", "left"), "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,7 +482,7 @@ def _sets(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> DataF
     names = ["node", "large", "tasks"]
     # what is wanted grows with the input: joined by shuffle at every size, never broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc").select(*names, "digest", "text")
-    return written(texts.mapInArrow(read, "node long, large boolean, tasks array<bigint>, size long, map binary, items binary"), "sets")
+    return written(texts.mapInArrow(read, "node long, large boolean, tasks array<struct<task: bigint, side: int>>, size long, map binary, items binary"), "sets")
 
 
 def _linked(rows: DataFrame, t: Threshold) -> DataFrame:
@@ -601,7 +605,7 @@ def verified(docs: DataFrame, profiles: DataFrame, hot, candidates: DataFrame, n
     """a, b: links that connect whatever is linked. ``candidates``: node, doc (an id with that set), cluster, digest, n_shingles, sketches of every class in one."""
     sets = _sets(docs, candidates, n, t)
     let_go(docs.sparkSession)
-    sent = sets.select(F.explode("tasks").alias("task"), F.lit(-1).alias("side"), "node", F.col("node").alias("root"), "items")
+    sent = sets.select("node", "items", F.explode("tasks").alias("at")).select("at.task", "at.side", "node", F.col("node").alias("root"), "items")
     first = written(_linked(sent, t), "links")
     large = written(candidates.join(sets.where("large").select("node"), "node"), "large")
     if large.isEmpty():
