@@ -3,12 +3,12 @@
 1. A document's set is its distinct n-word shingles, as sorted 64-bit hashes. Equal sets are one class.
 2. Blocks. Linked sets differ in at most a known number k of shingles, which follows from the threshold and the sizes.
    So the hash space is cut into k + t segments, and at least t segments of a linked pair are equal. A set has a key for
-   each segment that isn't empty (and, if t or more of its own are empty, for these too), and sets that share a key are
-   tied. Frames of sizes settle k: a pair meets in the frame of its smaller member. No linked pair is missed.
-   In fact a linked pair shares more keys of a frame than one: t, less the empty segments that have no key. So a
-   set may leave out as many but one, if all sets leave out those that come first in one order of all keys: the rarest
-   key that the pair shares is left out by neither. That order is the key's frequency; the ``MOST_HOT`` keys most often
-   met (a list of a fixed size, which is broadcast) come first. So a passage that many documents share ties none of them.
+   each segment, and sets that share a key are tied. Frames of sizes settle k: a pair meets in the frame of its smaller
+   member. In fact a linked pair shares t keys of that frame, so a set leaves out t - 1, if all sets leave out those that come
+   first in one order of all keys: the last key that the pair shares is left out by neither. So k + 1 keys of each
+   frame stay, and no linked pair is missed. First in that order are the keys of empty segments, then the ``MOST_HOT`` keys
+   most often met (a list of a fixed size, which is broadcast), by frequency, then all others by their value. So a passage
+   that many documents share ties none of them.
    Keys are combined in each task before the shuffle, so a key that a third of all documents have reaches the
    reducer once for each batch of rows; there sorted runs become stars, not pairs.
 3. Ties make clusters, inside which all links lie. A task builds a signature tree over the sets it is sent: leaves of
@@ -143,7 +143,10 @@ def sketches(items: np.ndarray) -> np.ndarray:
 
 
 def keys(items: np.ndarray, t: Threshold) -> np.ndarray:
-    """The keys of a set: one for each segment of each frame, from the sum of the hashes in it; their last byte is the frame's."""
+    """The keys of a set: one for each segment of each frame, from the sum of the hashes in it; their last byte is the frame's.
+
+    Those of empty segments are the first that a set leaves out, so only what there are beyond is made.
+    """
     out = []
     mixed = _mix(items ^ _A)
     for f, segments, spare in t.frames(len(items)):
@@ -155,7 +158,7 @@ def keys(items: np.ndarray, t: Threshold) -> np.ndarray:
             made = [_mix(np.add.reduceat(mixed, first) + _mix(at[first] * _A + seed))]
             if segments - len(first) >= spare:
                 empty = np.setdiff1d(np.arange(segments, dtype=np.uint64), at[first])
-                made.append(_mix(_mix(empty * _A + seed) ^ _C))
+                made.append(np.sort(_mix(_mix(empty * _A + seed) ^ _C))[spare - 1 :])
         out += [(k & ~np.uint64(255)) | np.uint64(f & 255) for k in made]
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
@@ -184,16 +187,15 @@ def profile(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
 
 
 def leave_out(found: np.ndarray, size: int, often: np.ndarray, t: Threshold) -> np.ndarray:
-    """Which of a set's keys stay: of each frame it leaves out the most frequent ones (``often``; 0: not in the list), as many as are safe."""
+    """Which of a set's keys stay: of each frame those that come last, by frequency (``often``; 0: not in the list) and value, as many as must."""
     stay = np.ones(len(found), bool)
     frame = found & 255
     for f, segments, spare in t.frames(size):
         own = np.flatnonzero(frame == f & 255)
-        # without keys for its empty segments, a set shares at least ``spare`` less these; with them, its partner may have none
-        safe = spare - (segments - len(own)) - 1 if segments > len(own) else 0
-        if safe > 0:
-            hot = own[often[own] > 0]
-            stay[hot[np.lexsort((found[hot], -often[hot]))][:safe]] = False
+        # sets share ``spare`` keys; of those left out, the ones of empty segments aren't here any more
+        beyond = len(own) - (segments - spare) - 1
+        if beyond > 0:
+            stay[own[np.lexsort((found[own], -often[own]))][:beyond]] = False
     return stay
 
 
@@ -228,15 +230,13 @@ class Hot:
 
     def keep(self, flat: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Which keys stay: ``flat`` has those of all sets, one set after another."""
-        stay = np.ones(len(flat), bool)
+        often = np.zeros(len(flat), np.int64)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, flat), len(self.keys) - 1)
             often = np.where(self.keys[at] == flat, self.times[at], 0)
-            ends = np.cumsum(lengths)
-            for row in np.unique(np.searchsorted(ends, np.flatnonzero(often), side="right")):
-                own = slice(ends[row] - lengths[row], ends[row])
-                stay[own] = leave_out(flat[own], int(sizes[row]), often[own], self.t)
-        return stay
+        ends = np.cumsum(lengths)
+        stay = [leave_out(flat[end - n : end], int(size), often[end - n : end], self.t) for end, n, size in zip(ends, lengths, sizes)]
+        return np.concatenate(stay) if stay else np.ones(0, bool)
 
 
 def _kept(batch: pa.RecordBatch, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
