@@ -63,6 +63,12 @@ FEW = 20
 #: Frequent keys that sets may leave out.
 MOST_HOT = 1 << 18
 
+#: Bits of the filter that says which documents' texts are wanted: 2^20 longs of 64, whatever the input is.
+FILTER_BITS = 1 << 26
+
+#: How often sets of an open cluster may be sent, as bitmaps, on average, before it's asked whether keys send fewer.
+COPIES = 64
+
 #: Keys that a task combines at once, and pairs of sets whose bitmaps are held against each other at once.
 TOGETHER, PAIRS = 1 << 20, 1 << 18
 
@@ -458,6 +464,15 @@ def _met(rows: DataFrame, *group: str) -> DataFrame:
     return rows.join(sizes, list(group)).withColumn("task", F.xxhash64(*group, part)).drop("n", "low", "high")
 
 
+def _filtered(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc`` may be in ``wanted``: a bit array of ``FILTER_BITS`` is broadcast, so some others stay as well."""
+    at = F.pmod(F.xxhash64("doc", F.lit("filter")), F.lit(FILTER_BITS))
+    word, bit = F.shiftright("at", 6), F.expr("shiftleft(1L, cast(at & 63 AS int))")
+    marks = wanted.select(at.alias("at")).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    marked = docs.withColumn("at", at).join(F.broadcast(written(marks, "marks")), word == F.col("word"))
+    return marked.where((F.col("bits").bitwiseAND(bit)) != 0).select(*docs.columns)
+
+
 def _sets(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:
     """node, large, tasks, size, map, items of every class of a cluster, written: its set and that's bitmap, and the tasks where it meets others first."""
     sizes = written(candidates.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
@@ -480,8 +495,8 @@ def _sets(docs: DataFrame, candidates: DataFrame, n: int, t: Threshold) -> DataF
                 yield pa.RecordBatch.from_arrays([c.filter(same) for c in (*(part.column(c) for c in names), *made)], names=[*names, "size", "map", "items"])
 
     names = ["node", "large", "tasks"]
-    # what is wanted grows with the input: joined by shuffle at every size, never broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc").select(*names, "digest", "text")
+    # what is wanted grows with the input: joined by shuffle at every size, never broadcast; most other texts stay where they are
+    texts = _filtered(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), wanted).join(wanted.hint("merge"), "doc").select(*names, "digest", "text")
     return written(texts.mapInArrow(read, "node long, large boolean, tasks array<struct<task: bigint, side: int>>, size long, map binary, items binary"), "sets")
 
 
@@ -571,6 +586,23 @@ def _dealt(rows: DataFrame, group: str, t: Threshold) -> DataFrame:
 
 def _last_tasks(profiles: DataFrame, hot, open_: DataFrame, t: Threshold) -> DataFrame:
     """node, root, task, side: the tasks where classes of clusters that aren't connected yet meet, as a whole or by shared keys."""
+    names = ["node", "root", "cluster", "n_shingles"]
+    sizes = open_.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"))
+    whole = written(open_.select(*names).join(sizes.select("cluster", "size", "most.root").withColumnRenamed("root", "most"), "cluster"), "whole")
+    # how often sets would be sent as a whole; keys are dealt only for clusters where that is often
+    copies = _ranges(whole, "cluster", t)[1].groupBy("cluster").agg(F.sum(F.col("n") * F.col("times")).alias("as_whole"), F.sum("n").alias("n"))
+    often = written(copies.where(F.col("as_whole") > COPIES * F.col("n")).select("cluster", "as_whole"), "often")
+    if often.isEmpty():
+        return _dealt(whole, "cluster", t)
+    by_key = _shared_keys(profiles, hot, open_.join(often.select("cluster"), "cluster"))
+    keyed_copies = by_key.groupBy("cluster").agg(F.sum(F.ceil(F.col("size") / BLOCK)).alias("by_key"))
+    fewer = written(often.join(keyed_copies, "cluster", "left").where(F.coalesce("by_key", F.lit(0)) < F.col("as_whole")).select("cluster"), "way")
+    as_whole = whole.join(fewer, "cluster", "left_anti")
+    return _dealt(as_whole, "cluster", t).unionByName(_dealt(by_key.join(fewer, "cluster"), "key", t))
+
+
+def _shared_keys(profiles: DataFrame, hot, open_: DataFrame) -> DataFrame:
+    """node, root, cluster, n_shingles, key, most, size, written: every class under its keys whose classes aren't connected yet; of keys with the same classes, one."""
     own = open_.select(F.col("doc").alias("doc_id"), "digest", "node", "root", "cluster", "n_shingles")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -588,17 +620,7 @@ def _last_tasks(profiles: DataFrame, hot, open_: DataFrame, t: Threshold) -> Dat
     groups = keyed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit("sum")) % (1 << 31)).alias("s"))
     groups = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
     once = groups.groupBy("n", "x", "s").agg(F.min(F.struct("key", F.col("most.root").alias("most"))).alias("k")).select("k.key", "k.most", F.col("n").alias("size"))
-    by_key = written(keyed.join(once, "key"), "by_key")
-
-    sizes = open_.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"))
-    whole = written(open_.select(*names).join(sizes.select("cluster", "size", "most.root").withColumnRenamed("root", "most"), "cluster"), "whole")
-    # how often sets would be sent, one way and the other
-    keyed_copies = by_key.groupBy("cluster").agg(F.sum(F.ceil(F.col("size") / BLOCK)).alias("by_key"))
-    whole_copies = _ranges(whole, "cluster", t)[1].groupBy("cluster").agg(F.sum(F.col("n") * F.col("times")).alias("as_whole"))
-    way = keyed_copies.join(whole_copies, "cluster", "left").select("cluster", (F.col("by_key") < F.coalesce("as_whole", F.lit(0))).alias("keys"))
-    way = written(way, "way")
-    as_whole, by_key = whole.join(way.where("NOT keys").select("cluster"), "cluster"), by_key.join(way.where("keys").select("cluster"), "cluster")
-    return _dealt(as_whole, "cluster", t).unionByName(_dealt(by_key, "key", t))
+    return written(keyed.join(once, "key"), "by_key")
 
 
 def verified(docs: DataFrame, profiles: DataFrame, hot, candidates: DataFrame, n: int, t: Threshold) -> DataFrame:

@@ -190,12 +190,14 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("whole", [16, 512])
-def test_large_clusters_against_brute_force(spark, monkeypatch, whole):
+@pytest.mark.parametrize("whole, times", [(16, 64), (16, 0), (512, 64)])
+def test_large_clusters_against_brute_force(spark, monkeypatch, whole, times):
     """Near copies in a chain and a common passage make clusters of many parts, components of many tasks, and keys over a block."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "WHOLE", whole)
+    monkeypatch.setattr(ngram_join, "COPIES", times)
     monkeypatch.setattr(ngram_join, "SAMPLE", 2)
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 128)
     pick = random.Random(5)
     words, rows = [f"v{i}" for i in range(5000)], []
     passage = pick.choices(words, k=60)
