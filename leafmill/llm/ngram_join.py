@@ -49,8 +49,8 @@ from leafmill.llm.components import components
 
 #: Classes of a cluster part, sets of a leaf, children of a node, and bits of a bitmap for each shingle of the largest set.
 BLOCK, LEAF, FAN, BITS_EACH, MOST_BITS = 512, 8, 4, 8, 1 << 16
-#: Classes up to which a cluster's parts all meet: 32 parts.
-WHOLE = 32 * BLOCK
+#: Classes up to which a cluster's parts all meet with their sets: 4 parts, so a set is sent about 4 times at most.
+WHOLE = 4 * BLOCK
 
 #: Bits for each shingle, at least, of the bitmaps that meet before sets do.
 BITS_SENT = 2
