@@ -18,9 +18,9 @@
 4. A cluster of up to ``BLOCK`` classes is one task; one of up to ``WHOLE`` is cut into parts that meet in pairs, so a set is
    sent a bounded number of times. A larger one is never sent whole at first: its classes meet those with the
    same least hash, in parts, then a few of each part's components meet again by other sketches, which joins most near copies.
-   What is exact comes last: the classes of a cluster that isn't connected yet meet as a whole, or, for every key
-   whose classes aren't connected yet, by that key (keys with the same classes count once), whichever sends fewer,
-   as counts tell beforehand. Groups over ``BLOCK`` are cut by size range and hash, and two parts meet where sizes allow
+   What is exact comes last: the classes of a cluster that isn't connected yet meet as a whole. Where that would send
+   each over ``COPIES`` times on average, they meet by every key whose classes aren't connected yet (keys with the same
+   classes count once), if counts tell that this sends fewer. Groups over ``BLOCK`` are cut by size range and hash, and two parts meet where sizes allow
    a link and not both lie in the group's greatest component. There bitmaps of two to four bits a shingle meet first, in the same
    trees; a task is then sent the sets that these leave a partner, and no others.
 5. Links (a spanning forest from each task) and classes give the components.
