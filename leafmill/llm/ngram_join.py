@@ -69,9 +69,12 @@ FILTER_BITS = 1 << 26
 #: How often sets of an open cluster may be sent, as bitmaps, on average, before it's asked whether keys send fewer.
 COPIES = 64
 
-#: Keys that a task combines at once, and pairs of sets whose bitmaps are held against each other at once.
+#: Keys that a task combines at once, and pairs of nodes that a traversal follows at once.
 TOGETHER, PAIRS = 1 << 20, 1 << 18
 
+#: Bytes of the bitmaps that are held against others at once: pairs' bitmaps are copied for that, so their number doesn't bound it.
+MAP_BYTES = 1 << 20
+
 _words = TokenIds(xxhash.xxh3_64_intdigest)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -361,7 +364,7 @@ def _possible(one: tuple, i: np.ndarray, other: tuple, j: np.ndarray, t: Thresho
     sizes = (t.num * low2[j] <= t.den * high[i]) & (t.num * low[i] <= t.den * high2[j])
     most = np.zeros(len(i), np.int64)
     at = np.flatnonzero(sizes)
-    step = max(1, PAIRS * 64 // maps.shape[1])
+    step = max(1, MAP_BYTES // maps[0].nbytes)
     for a in range(0, len(at), step):
         p = at[a : a + step]
         most[p] = np.bitwise_count(maps[i[p]] & maps2[j[p]]).sum(axis=1, dtype=np.int64) + np.minimum(hidden[i[p]], hidden2[j[p]])

@@ -1,6 +1,7 @@
 """The n-gram join against brute force: sets, links, components, hot groups, and each part of it."""
 
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -173,6 +174,28 @@ def test_bitmaps_rule_out_sets_that_share_a_passage():
     assert not ngram_join.partnered(members, None, t).any()
 
 
+def test_meeting_sets_take_little_memory():
+    """Two full parts of sets with a common passage: none is ruled out by a node, so all pairs of bitmaps are looked at."""
+    t, pick = Threshold(4, 5), np.random.default_rng(4)
+    draw = lambda n: pick.integers(0, 1 << 64, n, dtype=np.uint64)
+    common = draw(600)
+    one = [np.unique(np.r_[common, draw(400)]) for _ in range(ngram_join.BLOCK)]
+    other = [np.unique(np.r_[s[:-20], draw(20)]) for s in one]
+    bits = ngram_join.width(1000, ngram_join.BITS_SENT)
+    members = [(ngram_join.bitmap(s, bits), len(s), i) for i, s in enumerate(one + other)]
+    for meet in (lambda: ngram_join.links(one, other, t), lambda: ngram_join.partnered(members[: len(one)], members[len(one) :], t)):
+        tracemalloc.start()
+        try:
+            found, most = meet(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert most < 64 << 20
+        if isinstance(found, list):
+            assert {(a, a + len(one)) for a in range(len(one))} == set(found)
+        else:
+            assert found.all()
+
+
 def test_components_of_paths_stars_and_loops(spark):
     pick = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1100)] + [(1, 2), (2, 1), (2, 3), (3, 1), (50, 50)]
