@@ -24,15 +24,20 @@ def keeps(clear: Callable[[], None]) -> None:
     _kept.append(clear)
 
 
+def release() -> None:
+    """Gives freed memory back to the system, as other workers and the executor need it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def claim(owner: str) -> None:
     """Says which operator runs now; what another one kept goes."""
     global _owner
     if owner != _owner:
         for clear in _kept:
             clear()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":  # freed memory goes back to the system, as other workers need it
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
         _owner = owner
 
 

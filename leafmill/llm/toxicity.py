@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm._common import bounded_batches
 from leafmill.llm._labels import fold, labelled_texts
-from leafmill.llm._tokens import CACHED_CHARS, CACHED_TOKENS, claim, keeps
+from leafmill.llm._tokens import CACHED_CHARS, CACHED_TOKENS, claim, keeps, release
 
 #: Labelled rows that training sees at most, the features they may have in all (rows beyond are left out), and how often it sees each.
 TRAIN_ROWS, TRAIN_FEATURES, EPOCHS = 12_000, 1 << 24, 3
@@ -147,6 +147,14 @@ def train(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> Mo
     return ftrl.model()
 
 
+def trained(rows: list[np.ndarray], labels: list[int]) -> Model:
+    """Trains in a worker that goes on to score: ``rows`` is emptied, and its memory goes back to the system."""
+    model = train(rows, labels)
+    rows.clear()
+    release()
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_features: int = TRAIN_FEATURES) -> Model:
     """Trains in one task on at most ``rows`` labelled texts, in the order of a hash of their ids; only weights that aren't zero come back."""
     bounded_batches(docs.sparkSession)
@@ -166,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_feature
                 if n <= most_features:
                     held.append(at)
                     marks.append(label)
-        model = train(held, marks)
+        model = trained(held, marks)
         yield pa.RecordBatch.from_arrays([pa.array(model.at), pa.array(model.weight)], names=["at", "weight"])
 
     ready = sample.select("doc_id", "label", made("text").alias("made")).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")

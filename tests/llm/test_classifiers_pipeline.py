@@ -1,8 +1,11 @@
 """Held-out accuracy of the classifiers, hostile rows, and the pipeline's stages against brute force."""
 
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -299,3 +302,27 @@ def test_pipeline_keeps_columns_of_clashing_names(spark):
     rows = [(1, "a b c d e f g", "en", "s", 3, 0.5, 1, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, gone int, nth int")
     assert corpus_pipeline.keep_distinct(spark, df, "").collect() == df.collect()
+
+
+def test_training_gives_its_memory_back():
+    code = """
+import re
+import numpy as np
+from leafmill.llm import toxicity
+
+def held():
+    return int(re.search(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+
+def some():
+    return [np.frombuffer(pick.integers(1, 1 << 20, 2500, dtype=np.int32).tobytes(), np.int32) for _ in range(6000)]
+
+pick, labels = np.random.default_rng(1), [i % 2 for i in range(6000)]
+toxicity.train([np.arange(1, 9, dtype=np.int32)], [1])
+start, rows = held(), some()
+toxicity.trained(rows, labels)
+print(held() - start)
+"""
+    if not Path("/proc/self/smaps_rollup").exists():
+        pytest.skip("memory can't be read here")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout) < 40
