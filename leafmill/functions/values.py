@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,8 +106,15 @@ def utc_now() -> Column:
 
 
 def overflows(a: Column, b: Column) -> Column:
-    """Whether a product of 64-bit numbers is out of their range; null if either is null."""
-    return F.when(a.isNotNull() & b.isNotNull(), F.try_multiply(a.cast("long"), b.cast("long")).isNull())
+    """Whether a product of 64-bit numbers is out of their range; null if either is null.
+
+    ``try_multiply`` raises and catches an exception for each product that is; here a rounded product tells, and the exact
+    one only near the limits.
+    """
+    a, b = a.cast("long"), b.cast("long")
+    about = F.abs(a.cast("double") * b.cast("double"))
+    exact = a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+    return F.when(about < 9e18, False).when(about > 9.5e18, True).otherwise((exact > F.lit(Decimal((1 << 63) - 1))) | (exact < F.lit(Decimal(-(1 << 63)))))
 
 
 def uint_to_bytes(n: Column, size: int = 4) -> Column:

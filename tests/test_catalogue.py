@@ -102,6 +102,14 @@ def test_values(spark):
     assert tuple(cut.ab) == (2, 3, 2, 1) and cut.ac is None
 
 
+def test_overflows_at_the_limits(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(high, 1), (high, 2), (low, 1), (low, -1), (low, low), (1 << 31, 1 << 32), (1 << 31, (1 << 32) - 1), (-(1 << 31), 1 << 32), (-(1 << 31), (1 << 32) + 1), (3037000500, 3037000500), (3037000499, 3037000499), (0, low), (None, 1), (1, None)]
+    df = spark.createDataFrame(rows, "a long, b long").select("a", "b", values.overflows(F.col("a"), F.col("b")).alias("over"))
+    assert [r.over for r in df.collect()] == [None if a is None or b is None else not low <= a * b <= high for a, b in rows]
+    assert "try_multiply" not in df._jdf.queryExecution().toString()  # an exception for each product out of range
+
+
 def test_ordinals_and_graphs(spark):
     ids = [5, 3, 9, 9, None, 100, -4] + list(range(200, 400))
     got = ordered.ordinal(spark.createDataFrame([(i,) for i in ids], "k long").repartition(5), "k").collect()
