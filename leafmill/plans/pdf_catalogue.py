@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.arrow import Out, bounded_batches
 from leafmill.functions import values
 from leafmill.operators import extract, structure
 from leafmill.operators.text import Match
@@ -73,11 +74,17 @@ def paper(doc_id: int | None, text: str, lang: str | None, source: str | None) -
 def _rows(make: Callable[[dict], bytes], files: DataFrame) -> DataFrame:
     """doc_id, content: a file for each row."""
 
+    bounded_batches(files.sparkSession)
+    kinds = pa.schema([("doc_id", pa.int64()), ("content", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(kinds)
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([make(r) for r in part.to_pylist()], pa.binary())], names=["doc_id", "content"])
+                for r in batch.slice(at, 100).to_pylist():
+                    if out.add({"doc_id": r["doc_id"], "content": make(r)}):
+                        yield out.batch()
+        yield out.batch()
 
     return files.mapInArrow(run, "doc_id bigint, content binary")
 
@@ -102,45 +109,45 @@ def pdf_documents(files):
 
 @_query
 def pdf_pages(files):
-    p = pdf.pages(files)
+    p = pdf.pages(files, columns=["doc_id", "page_index", "media_box", "crop_box", "rotate"])
     box = lambda c: F.concat_ws(" ", F.transform(c, lambda x: x.cast("int").cast("string")))
     return p.select("doc_id", F.col("page_index").cast("long").alias("page_index"), box("media_box").alias("media_box"), box("crop_box").alias("crop_box"), F.col("rotate").cast("long").alias("rotate"))
 
 
 @_query
 def pdf_page_count(files):
-    return pdf.pages(files).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    return pdf.pages(files, columns=["doc_id", "page_index"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
 @_query
 def pdf_xref_entries(files):
-    x = pdf.xref(files)
+    x = pdf.xref(files, columns=["doc_id", "kind"])
     return x.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query
 def pdf_objects(files):
-    o = pdf.objects(files, streams=False).where("obj > 0")
+    o = pdf.objects(files, streams=False, columns=["doc_id", "obj", "type"]).where("obj > 0")
     return o.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query
 def pdf_edges(files):
     """References by where they stand."""
-    e = pdf.edges(pdf.objects(files, streams=False))
+    e = pdf.edges(pdf.objects(files, streams=False, columns=["doc_id", "obj", "refs"]))
     return e.groupBy("doc_id", F.regexp_replace("path", r"\[\d+\]", "[]").alias("path")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query
 def pdf_operators(files):
-    c = pdf.content_ops(files).where("op IS NOT NULL AND op <> ''")
+    c = pdf.content_ops(files, columns=["doc_id", "page_index", "op", "warnings"]).where("op IS NOT NULL AND op <> ''")
     return c.groupBy("doc_id", "page_index", "op").agg(F.count(F.lit(1)).alias("n"), F.sum("warnings").cast("long").alias("warnings")).withColumn("page_index", F.col("page_index").cast("long"))
 
 
 @_query
 def pdf_shown_strings(files):
     """Strings as they are shown, blanks and all, from all four codecs."""
-    r = pdf.glyph_runs(files)
+    r = pdf.glyph_runs(files, columns=["doc_id", "page_index", "text", "y", "length"])
     return r.select("doc_id", F.col("page_index").cast("long").alias("page_index"), F.round("y").cast("long").alias("y"), "text", F.round("length").cast("long").alias("length")).where("text <> ''")
 
 
@@ -198,56 +205,55 @@ def pdf_text_clip(files):
 
 @_query
 def pdf_metadata(files):
-    m = structure.metadata(pdf.objects(files))
+    m = structure.metadata(files)
     return m.select("doc_id", F.col("title"), F.col("author"))
 
 
 @_query
 def pdf_creation_date(files):
-    o = pdf.objects(files, streams=False).where("value LIKE '%CreationDate%'")
+    o = pdf.objects(files, streams=False, columns=["doc_id", "value"]).where("value LIKE '%CreationDate%'")
     return o.select("doc_id", values.parse_date(structure.text_of("CreationDate")).ts.cast("string").alias("created"))
 
 
 @_query
 def pdf_outlines(files):
-    o = structure.outlines(pdf.objects(files, streams=False))
+    o = structure.outlines(files)
     return o.select("doc_id", F.col("level").cast("long").alias("level"), F.col("pos").cast("long").alias("pos"), "title")
 
 
 @_query
 def pdf_fields(files):
-    f = structure.fields(pdf.objects(files, streams=False))
+    f = structure.fields(files)
     return f.select("doc_id", "full_name", "type", F.col("flags").cast("long").alias("flags"), F.substring("value", 2, 1 << 30).alias("value"))
 
 
 @_query
 def pdf_destinations(files):
-    d = structure.destinations(pdf.objects(files, streams=False), pdf.pages(files))
+    d = structure.destinations(files)
     return d.select("doc_id", "key", F.col("page_index").cast("long").alias("page_index"))
 
 
 @_query
 def pdf_annotations(files):
-    a = structure.annotations(pdf.objects(files, streams=False), pdf.pages(files))
+    a = structure.annotations(files)
     return a.select("doc_id", F.col("page_index").cast("long").alias("page_index"), "subtype", F.col("flags").cast("long").alias("flags"), F.get("rect", F.lit(2)).cast("long").alias("right"), "uri")
 
 
 @_query
 def pdf_inherited_box(files):
     """The page tree's box and resources as pages inherit them."""
-    o = pdf.objects(files, streams=False)
-    found = structure.inherit_key(o, "MediaBox").withColumnRenamed("found", "box")
-    return found.join(o.where("type = 'Page'").select("doc_id", "obj"), ["doc_id", "obj"]).groupBy("doc_id", "box").agg(F.count(F.lit(1)).alias("n"))
+    found = structure.inherit_key(files, "MediaBox").withColumnRenamed("found", "box")
+    return found.where("type = 'Page'").groupBy("doc_id", "box").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query
 def pdf_garbage(files):
-    return structure.garbage(pdf.objects(files, streams=False)).select("doc_id", F.col("obj").cast("long").alias("obj"))
+    return structure.garbage(files).select("doc_id", F.col("obj").cast("long").alias("obj"))
 
 
 @_query
 def pdf_reachable(files):
-    return structure.reachable(pdf.objects(files, streams=False)).where("obj > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return structure.reachable(files).where("obj > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query
@@ -260,10 +266,7 @@ def pdf_slice(files):
 def pdf_merge(files):
     """Files of two neighbouring ids in one: its pages and outline."""
     merged = write.merge(files.select(F.floor(F.col("doc_id") / 2).cast("long").alias("into"), F.col("doc_id").alias("ord"), "content").where("ord IS NOT NULL"))
-    both = merged.withColumnRenamed("into", "doc_id")
-    pages = pdf.pages(both).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
-    items = structure.outlines(pdf.objects(both, streams=False)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
-    return pages.join(items, "doc_id")
+    return structure.sizes(merged.withColumnRenamed("into", "doc_id"))
 
 
 @_query
@@ -273,11 +276,10 @@ def pdf_incremental(files):
     def changed(row: dict) -> bytes:
         doc = Document.load(row["content"])
         info = doc.objects[9]
-        return write.save_update(row["content"], [*(o for n, o in doc.objects.items() if n != 9), Obj(9, 0, info.value | {"Title": Text(b"changed %d" % len(doc.objects))})])
+        return write.save_update(row["content"], [*(o for n, o in doc.objects.items() if n != 9), Obj(9, 0, info.value | {"Title": Text(b"changed %d" % len(doc.objects))})], doc)
 
-    updated = _rows(changed, files)
-    newest = pdf.xref(updated).where("revision = 0 AND obj > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_changed"))
-    return newest.join(structure.metadata(pdf.objects(updated)).select("doc_id", "title"), "doc_id")
+    newest = lambda doc: {"n_changed": sum(e.revision == 0 and e.obj > 0 for e in doc.history)}
+    return structure.metadata(_rows(changed, files), "n_changed bigint", newest).select("doc_id", "n_changed", "title")
 
 
 _LINES = r"""t AS (SELECT doc_id, lang, source, string_split(regexp_replace(coalesce(text, ''), '[^\n -~]', '?', 'g'), chr(10)) AS ls FROM documents),
