@@ -1,38 +1,63 @@
-"""Text entries from glyph runs, with windows: lines, gaps, spaces between, words, trimming, boxes, rotation.
-
-A page is a window's partition. Fixed values, as extraction defines them: strings on one line differ by under 0.01 in
-height; gaps of a space's width (less 1e-7) are spaces, and those of over six are ends of an entry.
-"""
+"""Text entries from glyph runs: pages are laid out a page at a time (``parse.layout``); what matches, clips, turns and
+cuts out substrings are expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.arrow import over_groups
 from leafmill.functions import strings
 from leafmill.functions.values import affine, frame_rotation, within
-from leafmill.operators import ordered, text
+from leafmill.operators import text
 from leafmill.operators.text import Match
+from leafmill.parse import layout
+from leafmill.parse.runs import Run
+from leafmill.sources import pdf
+
+#: Columns that every answer needs, and those that only some do.
+_ALWAYS = ["doc_id", "page_index", "seq", "pos", "text", "x", "y", "length"]
+
 
-SAME_LINE, SLACK, HARD = 0.01, 1e-7, 6
+def _columns(how: Match, bounding_box: bool, raw_coordinates: bool) -> list[str]:
+    some = (["first_x"], how.clip), (["xs", "advances"], how.extract), (["ascent", "descent"], bounding_box), (["rotate", "box"], not raw_coordinates)
+    return _ALWAYS + [c for names, wanted in some if wanted for c in names]
 
 
 def text_entries(runs: DataFrame, how: Match = Match(), bounding_box: bool = False, raw_coordinates: bool = False) -> DataFrame:  # noqa: B008
-    """doc_id, page_index, seq, text, x, y, length, bbox: entries in the order of the page."""
-    glyphs = _glyphs(_segmented(runs.where("error IS NULL"), how.tokenize), how)
-    key = ["doc_id", "page_index", "entry", "word"]
-    pieces = F.array_sort(F.collect_list(F.struct("n", "glyph", "gx", "advance")))
-    grouped = glyphs.groupBy(*key).agg(
-        F.array_join(F.transform(pieces, lambda p: p.glyph), "").alias("text"),
-        F.min_by("gx", "n").alias("x"),
-        F.min_by("y", "n").alias("y"),
-        F.max_by(F.col("gx") + F.col("advance"), "n").alias("end"),
-        F.min("n").alias("seq"),
-        *([pieces.alias("pieces")] if how.extract else []),
-        *(F.min_by(c, "n").alias(c) for c in ("ascent", "descent", "first_x", "rotate")),
-        F.first("box").alias("box"),
-    )
-    found = grouped.withColumn("length", F.abs(F.col("end") - F.col("x"))).where(~strings.is_blank(F.col("text")))
+    """doc_id, page_index, seq, text, x, y, length, bbox: entries in the order of the page, from a table of glyph runs.
+
+    A page's runs are brought together and laid out, a page at a time. Of files, ``file_entries`` needs no shuffle.
+    """
+
+    def made(group: list[dict]) -> Iterator[dict]:
+        page = [Run(r["seq"], r["text"], r["x"], r["y"], r["length"], r["space_len"], *_glyphs(r["glyphs"]), 0, r["ascent"], r["descent"]) for r in group]
+        turned = {r["seq"]: r["rotate"] for r in group}
+        found = layout.entries(page, how.tokenize, how.keep_white, how.extract)
+        for values in zip(*found.values()):
+            e = dict(zip(found, values))
+            yield {"doc_id": group[0]["doc_id"], "page_index": group[0]["page_index"], "rotate": turned[e["seq"]], "box": group[0]["box"]} | e
+
+    needed = runs.where("error IS NULL").select("doc_id", "page_index", "seq", "text", "x", "y", "length", "space_len", "glyphs", "ascent", "descent", "rotate", "box")
+    found = over_groups(needed, ["doc_id", "page_index"], ["seq"], made, pdf.ENTRIES.replace("doc_id bigint", f"doc_id {dict(runs.dtypes)['doc_id']}"))
+    return _finished(found.select(*_columns(how, bounding_box, raw_coordinates)), how, bounding_box, raw_coordinates)
+
+
+def file_entries(files: DataFrame, how: Match = Match(), bounding_box: bool = False, raw_coordinates: bool = False) -> DataFrame:  # noqa: B008
+    """The same of files: each page is laid out where it is parsed, so that no glyph leaves the worker unless a substring's
+    place is asked for."""
+    found = pdf.entries(files, how.tokenize, how.keep_white, how.extract, columns=_columns(how, bounding_box, raw_coordinates))
+    return _finished(found, how, bounding_box, raw_coordinates)
+
+
+def _glyphs(glyphs: list[dict] | None) -> tuple[tuple[str, ...], tuple[float, ...]]:
+    return tuple(g["text"] for g in glyphs or ()), tuple(g["advance"] for g in glyphs or ())
+
+
+def _finished(found: DataFrame, how: Match, bounding_box: bool, raw_coordinates: bool) -> DataFrame:
+    """What matches, and what of it."""
     if how.clip:
         found = found.where(within(F.col("first_x"), F.col("y"), *how.clip))
     found = found.where(text.matches(F.col("text"), how))
@@ -40,49 +65,14 @@ def text_entries(runs: DataFrame, how: Match = Match(), bounding_box: bool = Fal
         folded = strings.ascii_lower(F.col("text")) if how.ignore_case else F.col("text")
         at = F.locate(text.folded_pattern(how), folded)
         # the glyph of each character: a match begins where its first glyph does and ends with its last one's advance
-        each = F.flatten(F.transform("pieces", lambda p: F.array_repeat(F.struct(p.gx.alias("x"), p.advance.alias("advance")), F.char_length(p.glyph))))
-        first, last = F.get(each, at - 1), F.get(each, at + (len(how.pattern) - 2))
-        found = found.withColumns({"x": first.x, "length": F.abs(last.x + last.advance - first.x), "text": F.substring("text", at, F.lit(len(how.pattern)))})
-    box = F.struct(F.col("x").alias("l"), (F.col("y") + F.col("descent")).alias("b"), F.col("length").alias("w"), (F.col("ascent") - F.col("descent")).alias("h"))
-    found = found.withColumn("bbox", box if bounding_box else F.lit(None).cast("struct<l: double, b: double, w: double, h: double>"))
+        first, end = at - 1, at + (len(how.pattern) - 2)
+        begin = F.get("xs", first)
+        found = found.withColumns({"x": begin, "length": F.abs(F.get("xs", end) + F.get("advances", end) - begin), "text": F.substring("text", at, F.lit(len(how.pattern)))})
+    box = F.struct(F.col("x").alias("l"), (F.col("y") + F.col("descent")).alias("b"), F.col("length").alias("w"), (F.col("ascent") - F.col("descent")).alias("h")) if bounding_box else F.lit(None).cast("struct<l: double, b: double, w: double, h: double>")
+    found = found.withColumn("bbox", box)
     if not raw_coordinates:
         found = _rotated(found)
-    return found.select("doc_id", "page_index", "seq", "text", "x", "y", "length", "bbox")
-
-
-def _segmented(runs: DataFrame, tokenize: bool) -> DataFrame:
-    """Runs with the number of their entry, and whether a space goes before them."""
-    page = ordered.over(["doc_id", "page_index"], ["seq"])
-    end = F.lag(F.col("x") + F.col("length")).over(page)
-    gap = F.abs(F.col("x") - end) + SLACK
-    moved = F.abs(F.col("y") - F.lag("y").over(page)) >= SAME_LINE
-    spaced = gap >= F.col("space_len")
-    opens = end.isNull() | moved | (spaced & (F.lit(tokenize) | (gap > HARD * F.col("space_len"))))
-    white = F.lag("text").over(page).rlike(rf"{strings.UNICODE_SPACE}$") | F.col("text").rlike(strings.UNICODE_SPACE)
-    marked = runs.withColumn("_spaced", ~opens & spaced & ~F.coalesce(white, F.lit(False))).withColumn("_gap", gap - SLACK).withColumn("_end", end)
-    return ordered.entry_number(marked, opens, page)
-
-
-def _glyphs(runs: DataFrame, how: Match) -> DataFrame:
-    """A row for each glyph that counts: placed, trimmed, and with the number of its word if words are asked for."""
-    before = F.when(F.col("_spaced"), F.array(F.struct(F.lit(" ").alias("text"), F.col("_gap").alias("advance")))).otherwise(F.array().cast("array<struct<text: string, advance: double>>"))
-    start = F.when(F.col("_spaced"), F.col("_end")).otherwise(F.col("x"))
-    page = Window.partitionBy("doc_id", "page_index", "entry")
-    rows = runs.withColumn("first_x", F.first("x").over(page.orderBy("seq"))).withColumn("start", start).withColumn("all", F.concat(before, "glyphs"))
-    rows = rows.select("*", F.posexplode("all").alias("pos", "g")).withColumn("glyph", F.col("g.text")).withColumn("advance", F.col("g.advance"))
-    inside = Window.partitionBy("doc_id", "page_index", "seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("gx", F.col("start") + F.coalesce(F.sum("advance").over(inside), F.lit(0.0)))
-    rows = rows.withColumn("n", F.struct("seq", "pos")).withColumn("blank", strings.is_blank(F.col("glyph")))
-    entry = page.orderBy("n")
-    if how.tokenize:
-        opens = ~F.col("blank") & F.coalesce(F.lag("blank").over(entry), F.lit(True))
-        return rows.withColumn("word", F.sum(opens.cast("int")).over(entry.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("NOT blank")
-    rows = rows.withColumn("word", F.lit(0))
-    if how.keep_white:
-        return rows
-    ink = F.when(~F.col("blank"), F.col("n"))
-    whole = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumn("_a", F.min(ink).over(whole)).withColumn("_b", F.max(ink).over(whole)).where("n >= _a AND n <= _b").drop("_a", "_b")
+    return found.select("doc_id", "page_index", F.struct("seq", "pos").alias("seq"), "text", "x", "y", "length", "bbox")
 
 
 def _rotated(entries: DataFrame) -> DataFrame:

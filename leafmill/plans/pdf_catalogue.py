@@ -152,7 +152,7 @@ def pdf_shown_strings(files):
 
 
 def _entries(files: DataFrame, raw: bool = True, **how) -> DataFrame:
-    found = extract.text_entries(pdf.glyph_runs(files), Match(**how), raw_coordinates=raw)
+    found = extract.file_entries(files, Match(**how), raw_coordinates=raw)
     whole = lambda c: F.round(c).cast("long").alias(c)
     return found.select("doc_id", F.col("page_index").cast("long").alias("page_index"), whole("x"), whole("y"), "text", whole("length"))
 

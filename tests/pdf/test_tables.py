@@ -1,13 +1,17 @@
 """PDF files as tables: structure, text entries, writing."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill.arrow import Out
 from leafmill.operators import extract, graph, structure
 from leafmill.operators.text import Match
 from leafmill.parse import filters
 from leafmill.parse.document import Document, Obj, write_document
+from leafmill.parse.fonts import write_cmap
 from leafmill.parse.tokens import Name, Ref, Text
+from leafmill.plans import pdf_catalogue
 from leafmill.sources import pdf, write
 
 WIDTHS = [500] * 95
@@ -247,3 +251,75 @@ def test_files_of_subfolders_and_any_case(spark, tmp_path):
         (tmp_path / name).write_bytes(sample())
     got = pdf.read_files(spark, str(tmp_path))
     assert got.columns == ["doc_id", "path", "content"] and sorted(r.path.rsplit("/", 1)[1] for r in got.collect()) == ["B.PDF", "a.pdf", "c.Pdf", "d.pdf"]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", [n for n in pdf_catalogue.QUERIES if n != "pdf_merge"])
+def test_queries_read_files_once(spark, name):
+    """Files are made once and parsed once, and no page's or document's rows are brought together."""
+    found = plan(pdf_catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert found.count("MapInArrow") == 2 + (name in ("pdf_slice", "pdf_incremental")) and "Window" not in found and "Join" not in found
+    assert found.count("Exchange") <= 1 and ("Exchange" not in found or "HashAggregate" in found)
+
+
+def test_merge_reads_files_once(spark):
+    found = plan(pdf_catalogue.QUERIES["pdf_merge"](spark, "/root/testdata/sf0.001"))
+    assert (found.count("MapInArrow"), found.count("Exchange")) == (3, 1) and "Join" not in found
+
+
+def test_structure_reads_objects_once(spark, files):
+    """From the objects table, which is read once, as from the files."""
+    table, pages, one = pdf.objects(files), pdf.pages(files), files.where("path LIKE '%a.pdf'")
+    for made in (structure.outlines, structure.fields, structure.garbage, structure.reachable, lambda s: structure.inherit_key(s, "MediaBox"), lambda s: structure.names(s, "Dests")):
+        assert plan(made(table)).count("MapInArrow") == 2
+        assert sorted(map(str, made(table).collect())) == sorted(map(str, made(files).collect()))
+    for made in (structure.annotations, structure.destinations, structure.sizes):
+        assert plan(made(table, pages)).count("MapInArrow") == 3
+        assert sorted(map(str, made(table, pages).collect())) == sorted(map(str, made(files).collect()))
+    assert structure.metadata(table).collect() == structure.metadata(files).collect() == structure.metadata(one).collect()
+
+
+def test_files_of_the_same_or_no_id(spark):
+    """Each file is a document of its own."""
+    rows = spark.createDataFrame([(None, sample()), (7, sample()), (7, sample())], "doc_id long, content binary")
+    for made in (structure.outlines, structure.fields, structure.annotations, structure.destinations, structure.garbage):
+        assert {r.doc_id: r["count"] for r in made(rows).groupBy("doc_id").count().collect()} == {None: (n := made(rows.limit(1)).count()), 7: 2 * n} and n
+    words = extract.file_entries(rows, Match(tokenize=True)).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in words} == {None: 7, 7: 14}
+
+
+def test_entries_of_runs_and_of_files(spark, files):
+    """Glyphs of several and of no characters, spaces between runs, and both ways to entries."""
+    codes = {(65, 1): "ffi", (66, 1): "", (67, 1): " x", (32, 1): " "} | {(c, 1): chr(c) for c in range(97, 123)}
+    objects = [
+        Obj(1, 0, {"Type": Name("Catalog"), "Pages": Ref(2, 0)}),
+        Obj(2, 0, {"Type": Name("Pages"), "Kids": [Ref(3, 0)], "Count": 1, "Resources": {"Font": {"F": Ref(4, 0)}}}),
+        Obj(3, 0, {"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": Ref(5, 0)}),
+        Obj(4, 0, FONT | {"ToUnicode": Ref(6, 0), "Widths": [500] * 95}),
+        Obj(5, 0, {}, b"BT /F 10 Tf 1 0 0 1 10 700 Tm (  oAce  aBb ) Tj 1 0 0 1 90 700 Tm (cd) Tj 1 0 0 1 10 600 Tm (aCb) Tj () Tj ( ) Tj 0 -20 Td ( ) Tj ET"),
+        Obj(6, 0, {}, write_cmap(codes)),
+    ]
+    one = spark.createDataFrame([(1, write_document(objects, {"Root": Ref(1, 0)}))], "doc_id long, content binary")
+    said = lambda found: [(r.text, round(r.x, 3), round(r.length, 3), r.seq.seq, r.seq.pos) for r in found.orderBy("page_index", "seq").collect()]
+    runs = pdf.glyph_runs(one)
+    want = {
+        Match(): [("officeX".replace("X", "  ab cd"), 20.0, 80.0, 0, 2), ("a xb", 10.0, 15.0, 2, 0)],
+        Match(tokenize=True): [("office", 20.0, 20.0, 0, 2), ("a", 50.0, 5.0, 0, 8), ("b", 60.0, 5.0, 0, 10), ("cd", 90.0, 10.0, 1, 0), ("a xb", 10.0, 15.0, 2, 0)],
+        Match(keep_white=True): [("  office  ab cd", 10.0, 90.0, 0, 0), ("a xb ", 10.0, 20.0, 2, 0)],
+        Match("fic", extract=True): [("fic", 25.0, 10.0, 0, 2)],
+    }
+    for how, rows in want.items():
+        assert said(extract.file_entries(one, how, raw_coordinates=True)) == said(extract.text_entries(runs, how, raw_coordinates=True)) == rows
+    for how in (Match(), Match(tokenize=True), Match("the", extract=True), Match(keep_white=True), Match(clip=(0, 640, 300, 20))):
+        both = [made(source, how, bounding_box=True).drop("doc_id").orderBy("page_index", "seq").collect() for made, source in ((extract.file_entries, files), (extract.text_entries, pdf.glyph_runs(files, "DROPMALFORMED")))]
+        assert both[0] == both[1] and both[0]
+
+
+def test_batches_are_bounded_by_bytes():
+    """Rows of large texts leave a worker a few at a time, however many files a batch has."""
+    out = Out(pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+    asked = [out.add({"doc_id": i, "text": "x" * 100_000}) for i in range(12)]
+    assert asked == [False] * 10 + [True] * 2 and out.batch().num_rows == 12 and not out.add({"doc_id": 1}) and out.batch().to_pylist() == [{"doc_id": 1, "text": None}]
