@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,8 +47,10 @@ class Out:
                 column += [None] * n
                 continue
             column += values
-            if isinstance(values[0], str | bytes | list):
-                self.size += sum(8 * len(v) if isinstance(v, list) else len(v or "") for v in values)
+            if isinstance(values[0], str | bytes):
+                self.size += sum(len(v or "") for v in values)
+            elif isinstance(values[0], list | np.ndarray):
+                self.size += sum(8 * len(v) for v in values if v is not None)
             elif isinstance(values[0], tuple):
                 self.size += sum(8 * len(v[0]) for v in values if v)
         self.n += n

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +53,8 @@ def file_entries(files: DataFrame, how: Match = Match(), bounding_box: bool = Fa
     return _finished(found, how, bounding_box, raw_coordinates)
 
 
-def _glyphs(glyphs: list[dict] | None) -> tuple[tuple[str, ...], tuple[float, ...]]:
-    return tuple(g["text"] for g in glyphs or ()), tuple(g["advance"] for g in glyphs or ())
+def _glyphs(glyphs: list[dict] | None) -> tuple[tuple[str, ...], np.ndarray]:
+    return tuple(g["text"] for g in glyphs or ()), np.array([g["advance"] for g in glyphs or ()], np.float64)
 
 
 def _finished(found: DataFrame, how: Match, bounding_box: bool, raw_coordinates: bool) -> DataFrame:

@@ -200,7 +200,7 @@ def glyph_runs(files: DataFrame, mode: str = "PERMISSIVE", password: str = "", m
                     "ascent": r.ascent,
                     "descent": r.descent,
                     "chunk": r.chunk,
-                    "glyphs": (r.texts, r.advances) if placed else None,
+                    "glyphs": (r.texts, r.advances.tolist()) if placed else None,
                     "rotate": int(rotate) % 360 if isinstance(rotate, int | float) else 0,
                     "box": box,
                 }
